@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_suffixes, superminhash
+from . import benchmark_suffixes, packing, repair, superminhash
 from .common import table
+from .tokens import public_file
+
+
+def op5_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"))
 
 
 def op6_superminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +21,9 @@ def op9_benchmark_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_suffixes.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op6_superminhash_near_duplicates, op9_benchmark_suffix_arrays)}
+def op10_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.read(repair.write(table(spark, sf_dir, "documents"), public_file("word_bpe_49k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op5_minimum_slack_packing, op6_superminhash_near_duplicates, op9_benchmark_suffix_arrays, op10_repair_token_files)}
 ORACLE_SQL: dict[str, str] = {}
