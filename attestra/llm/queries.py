@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_suffixes, packing, repair, superminhash
+from . import benchmark_suffixes, fm_index, packing, radix_suffixes, repair, superminhash
 from .common import table
 from .tokens import public_file
 
 
+def op4_radix_sorted_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix_suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"))
 
@@ -17,6 +21,10 @@ def op6_superminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFr
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_suffixes.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -25,5 +33,15 @@ def op10_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read(repair.write(table(spark, sf_dir, "documents"), public_file("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op5_minimum_slack_packing, op6_superminhash_near_duplicates, op9_benchmark_suffix_arrays, op10_repair_token_files)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op4_radix_sorted_suffixes,
+        op5_minimum_slack_packing,
+        op6_superminhash_near_duplicates,
+        op8_fm_index_repeats,
+        op9_benchmark_suffix_arrays,
+        op10_repair_token_files,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
