@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_suffixes, fm_index, packing, radix_suffixes, repair, superminhash
+from . import benchmark_suffixes, fm_index, packing, radix_suffixes, repair, sorted_projections, superminhash
 from .common import table
 from .tokens import public_file
 
@@ -21,6 +21,10 @@ def op6_superminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFr
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_sorted_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_projections.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES = {
         op4_radix_sorted_suffixes,
         op5_minimum_slack_packing,
         op6_superminhash_near_duplicates,
+        op7_sorted_projection_passes,
         op8_fm_index_repeats,
         op9_benchmark_suffix_arrays,
         op10_repair_token_files,
