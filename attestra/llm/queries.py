@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_suffixes, fm_index, packing, radix_suffixes, repair, sorted_projections, superminhash
+from . import benchmark_suffixes, crf_language, fm_index, nb_svm_quality, packing, radix_suffixes, repair, sorted_projections, superminhash
 from .common import table
 from .tokens import public_file
 
 
+def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_language.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nb_svm_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_radix_sorted_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,8 @@ def op10_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_crf_language,
+        op2_nb_svm_quality,
         op4_radix_sorted_suffixes,
         op5_minimum_slack_packing,
         op6_superminhash_near_duplicates,
