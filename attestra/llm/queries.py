@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_suffixes, crf_language, fm_index, nb_svm_quality, packing, radix_suffixes, repair, sorted_projections, superminhash
+from . import benchmark_suffixes, crf_language, fm_index, nb_svm_quality, packing, radix_suffixes, repair, sanitise, sorted_projections, superminhash
 from .common import table
 from .tokens import public_file
 
@@ -17,6 +17,10 @@ def op2_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nb_svm_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_information_theoretic_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.report(table(spark, sf_dir, "documents"))
+
+
 def op4_radix_sorted_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     for f in (
         op1_crf_language,
         op2_nb_svm_quality,
+        op3_information_theoretic_sanitisation,
         op4_radix_sorted_suffixes,
         op5_minimum_slack_packing,
         op6_superminhash_near_duplicates,

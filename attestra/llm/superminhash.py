@@ -21,7 +21,7 @@ SHINGLE = 5
 #: Bands and rows a band. A pair at similarity 0.85 misses all bands with probability (1 - 0.85^4)^24, below 3e-8; at 0.8 it is below 4e-6.
 BANDS, ROWS = 24, 4
 #: Classes in one block.
-BLOCK = 256
+BLOCK = 128
 _C = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, n_b
     member = near.join(counts, "root").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     member = saved(member.join(classes.withColumnRenamed("rep", "node"), "node").select("node", "root", "blocks", "block", "bands"), "members")
-    text = docs.withColumnRenamed("doc_id", "node").join(checked_broadcast(member), "node")
+    text = docs.withColumnRenamed("doc_id", "node").join(checked_broadcast(member, 50_000), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     text = text.select("node", "text", "bands", "root", "block", other)
     group = F.concat_ws(":", "root", F.least("block", "other"), F.greatest("block", "other")).alias("group")

@@ -99,3 +99,20 @@ def repeated_words(docs, length=20):
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         out[i] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def base_spans(text):
+    """(counts by kind, joined spans)"""
+    t, out = text or "", {}
+    out["email"] = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    ips = re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t)
+    out["ip"] = [m.span() for m in ips if all(int(x) <= 255 for x in m[0].split("."))]
+
+    def luhn(d):
+        return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out["card"] = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(d := digits(m[0])) <= 19 and luhn(d)]
+    out["phone"] = [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+    joined = ",".join(f"{k}:{s}:{e}" for k in ("email", "ip", "card", "phone") for s, e in out[k])
+    return tuple(len(out[k]) for k in ("email", "ip", "card", "phone")), joined
