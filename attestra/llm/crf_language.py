@@ -263,6 +263,25 @@ def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
     return _inputs(docs).mapInArrow(batches(lambda b: _predict(b, shared.value)), schema)
 
 
+def keep_identified(docs: DataFrame, least: float, field: Field | None = None) -> DataFrame:
+    """The rows of docs, all columns, whose language is known with a mean posterior of at least ``least``.
+
+    Null texts and texts without a letter go; if no language could be learned, all rows stay. Nothing is shuffled.
+    """
+    field = field or train(docs)
+    if not field.languages:
+        return docs
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    at = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = [len(p) > 0 and p.mean(axis=0).max() >= least for p in _posterior_batch(batch.column(at).to_pylist(), shared.value)]
+        return batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(batches(run), docs.schema)
+
+
 def language_runs(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """Runs of words of one language: doc_id, word (of the run's start), n_words, lang, posterior (mean)."""
     field = field or train(docs)

@@ -164,9 +164,11 @@ def report(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *n[:4], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, line("term")), ",").alias("spans"), n[4])
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with every base span replaced by its kind in brackets, terms generalised to [term] or removed; texts
-    without a span, and all other columns, are as they were."""
+def sanitise(docs: DataFrame, length: str = "n_chars") -> DataFrame:
+    """docs with every base span replaced by its kind in brackets, terms generalised to [term] or removed.
+
+    A column named ``length`` follows the new text; texts without a span, and all other columns, are as they were.
+    """
     found = find(docs)
     mark = lambda k, s: F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), s(x).alias("by")))
     cuts = F.concat(*[mark(k, lambda x, k=k: F.lit(f"[{k}]")) for k in KINDS], mark("term", lambda x: F.when(x["removed"], F.lit("")).otherwise(F.lit("[term]"))))
@@ -182,4 +184,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     clean = F.aggregate("_cuts", start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col("_hash"))
     joined = docs.join(checked_broadcast(found, 50_000), same, "left")
-    return joined.withColumn("text", F.when(F.col("_cuts").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
+    out = joined.withColumn("text", F.when(F.col("_cuts").isNotNull(), clean).otherwise(F.col("text")))
+    if length in docs.columns:
+        of_kind = docs.schema[length].dataType
+        out = out.withColumn(length, F.when(F.col("_cuts").isNotNull(), F.length("text").cast(of_kind)).otherwise(F.col(length)))
+    return out.select(*docs.columns)
