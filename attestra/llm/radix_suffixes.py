@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from .window_passes import Windows, covered, marks, prepared, ranges, with_marks
 
 WINDOW = 400
-CORE = 200
+CORE = 100
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -26,7 +26,7 @@ from .tokens import encoder
 END_ID = 2
 BLOCK_IDS = 1 << 20
 #: Passes over a block, new rules a pass at most, and uses a rule must have to pay for itself.
-PASSES, RULES, LEAST_USES = 5, 1500, 6
+PASSES, RULES, LEAST_USES = 4, 2000, 6
 _HASH_BITS = 20
 
 

@@ -101,7 +101,11 @@ def _texts(docs: DataFrame, *more: str) -> DataFrame:
 def base_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, a column of spans (s, e, v) for each kind, and per span its near terms."""
     rows = with_spans(_texts(docs))
-    entity = F.concat(*[F.transform(k, lambda x, k=k: F.struct(F.concat(F.lit(f"{k}:"), F.lower(x["v"])).alias("entity"), _near(F.col("text"), x).alias("terms"))) for k in KINDS])
+
+    def entities(kind: str) -> Column:
+        return F.transform(kind, lambda x: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(x["v"])).alias("entity"), _near(F.col("text"), x).alias("terms")))
+
+    entity = F.concat(*[entities(k) for k in KINDS])
     return rows.select("doc_id", "text_hash", *KINDS, entity.alias("entities"))
 
 

@@ -2,7 +2,9 @@
 
 The tokenizers library encodes; what is added is a cut at places that no token can span, and a bounded table of pieces
 already encoded. The cut of a byte-level file is a single space between two non-spaces (the space opens the next
-piece), that of a lower-casing word file any white space. A text with other spacing is encoded whole.
+piece), that of a lower-casing word file any white space. A text with other spacing is encoded whole. Most pieces are
+a run of letters, perhaps with one stop behind: normalisation and the first split leave those as they are (but for
+case), so they go to the library's model directly; all others go through its whole chain.
 """
 
 from __future__ import annotations
@@ -34,6 +36,20 @@ def _by_words(text: str) -> list[str] | None:
     return None if any(c in text for c in _SEPARATORS) else text.split()
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte -> the letter that stands for it in byte-level vocabularies: printable ones themselves, others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table, free = {b: b for b in printable}, 256
+    for b in range(256):
+        if b not in table:
+            table[b], free = free, free + 1
+    return table
+
+
+_LETTER = _byte_letters()
+_STOPS = frozenset(".,;:!?")
+
+
 class PieceEncoder:
     """texts -> little-endian unsigned 32-bit ids, as the library gives them for the whole text."""
 
@@ -42,6 +58,7 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.limit = pieces
+        self.tokenize = self.library.model.tokenize
         self.words = '"end_of_word_suffix":"</w>"' in self.library.to_str()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -59,11 +76,29 @@ class PieceEncoder:
                 new[p] = ids
             else:
                 miss.append(p)
-        for k in range(0, len(miss), 4096):
-            part = miss[k : k + 4096]
+        rest = [p for p in miss if not self._simple(p, prefix)]
+        for k in range(0, len(rest), 4096):
+            part = rest[k : k + 4096]
             new.update(zip(part, self._library([prefix + p for p in part] if prefix else part)))
         return new
 
+    def _simple(self, piece: str, prefix: str) -> bool:
+        """Encodes a piece of Latin letters with at most one stop behind; False if it is another kind."""
+        core, stop = (piece[:-1], piece[-1]) if piece[-1:] in _STOPS else (piece, "")
+        if not core.isalpha():
+            return False
+        try:
+            raw = core.lower().encode("latin-1") if self.words else core.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        shown = (prefix.encode() + (raw if raw.isascii() else raw.decode("latin-1").encode())).decode("latin-1").translate(_LETTER)
+        tokens = self.tokenize(shown)
+        ids = [t.id for t in tokens]
+        if stop:
+            ids += [t.id for t in self.tokenize(stop)]
+        self.new[piece] = np.array(ids, "<u4").tobytes()
+        return True
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [(_by_words if self.words else _by_space)(t) for t in texts]
         if self.words:

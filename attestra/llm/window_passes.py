@@ -21,15 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, batches, checked_broadcast, documents, saved, small_batches, texts_of
+from .common import arrow_batch, batches, documents, saved, small_batches, texts_of
 
 _U = np.uint64
 #: Hulls of one core above which it takes the pass by single windows; and hulls in one block.
-HOT_HULLS = 2048
+HOT_HULLS = 512
 BLOCK_HULLS = 8192
 KEYS = "key long"
-ANCHORS = "doc_id long, key long, hull binary, lo long, n_windows int, off int"
-SEGMENTS = "key long, doc_id long, lo long, n_windows int, copies boolean, units binary"
+ANCHORS = "doc_id long, key long, hull1 long, hull2 long, lo long, n_windows long, times long"
+SEGMENTS = "key long, doc_id long, lo long, n_windows long, copies boolean, units binary, hot boolean"
 MARKS = "doc_id long, lo long, n_windows long"
 
 
@@ -67,45 +67,58 @@ def anchors(units: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _anchor_rows(batch: pa.RecordBatch, w: Windows, whole: bool) -> pa.RecordBatch:
+    """Rows of ANCHORS, or keys only. Equal hulls one after another in a document are one row with ``times``."""
     digest, key_of = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
-    docs, keys, hulls, los, counts, offs = [], [], [], [], [], []
+    docs, keys, hulls, los, counts, times = [], [], [], [], [], []
     for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
         units = w.units(text)
         at, lo, hi = anchors(units, w)
         if not len(at):
             continue
         data, size = memoryview(units.tobytes()), units.itemsize
-        keys += [key_of(data[a * size : (a + w.core) * size]) for a in at.tolist()]
+        key = np.fromiter((key_of(data[a * size : (a + w.core) * size]) for a in at.tolist()), np.uint64, len(at))
+        off, n = at - lo, hi - lo + 1
+        # the same core at the same place again, next to the last: a run of one unit, line or word
+        new = np.r_[True, (key[1:] != key[:-1]) | (off[1:] != off[:-1]) | (n[1:] != n[:-1])]
+        if not new.all():
+            for k in np.flatnonzero(~new).tolist():  # such neighbours may still differ outside the core
+                i, j, m = int(lo[k - 1]) * size, int(lo[k]) * size, int(n[k] + w.length - 1) * size
+                new[k] = data[i : i + m] != data[j : j + m]
+        first = np.flatnonzero(new)
+        run = np.diff(np.r_[first, len(at)])
+        # a run of equal neighbours counts as several
+        keys.append(np.repeat(key[first], np.minimum(run, 2)) if not whole else key[first])
         if whole:
-            off = at - lo
-            n = hi - lo + 1
+            lo, n, off = lo[first], n[first], off[first]
             hulls += [digest(data[s * size : (s + k + w.length - 1) * size], o << 32 | k) for s, k, o in zip(lo.tolist(), n.tolist(), off.tolist())]
-            docs.append(np.full(len(at), doc_id))
+            docs.append(np.full(len(first), doc_id))
             los.append(lo)
             counts.append(n)
-            offs.append(off)
-    key = pa.array(np.array(keys, np.uint64).view(np.int64))
+            times.append(run)
+    cat = lambda x, t=np.int64: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
+    key = pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64))
     if not whole:
         return arrow_batch(key=key)
-    cat = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
-    return arrow_batch(doc_id=cat(docs, np.int64), key=key, hull=pa.array(hulls, pa.binary()), lo=cat(los, np.int64), n_windows=cat(counts, np.int32), off=cat(offs, np.int32))
+    hull = np.frombuffer(b"".join(hulls), np.int64).reshape(-1, 2)
+    return arrow_batch(doc_id=cat(docs), key=key, hull1=pa.array(hull[:, 0].copy()), hull2=pa.array(hull[:, 1].copy()), lo=cat(los), n_windows=cat(counts), times=cat(times))
 
 
-def _segments(batch: pa.RecordBatch, w: Windows, single: bool) -> pa.RecordBatch:
-    """Hulls as rows with their units; single: every window by itself, keyed by its own units."""
+def _segments(batch: pa.RecordBatch, w: Windows) -> pa.RecordBatch:
+    """Hulls as rows with their units; of hot cores every window by itself, its units digested."""
     rows = []
     for doc_id, text, hulls in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist()):
         units = w.units(text)
         data, size = memoryview(units.tobytes()), units.itemsize
         for h in hulls:
-            if not single:
-                rows.append((h["key"], doc_id, h["lo"], h["n_windows"], h["copies"], bytes(data[h["lo"] * size : (h["lo"] + h["n_windows"] + w.length - 1) * size])))
+            lo, n = h["lo"], h["n_windows"]
+            if not h["hot"]:
+                rows.append((h["key"], doc_id, lo, n, h["copies"], bytes(data[lo * size : (lo + n + w.length - 1) * size]), False))
                 continue
-            for p in range(h["lo"], h["lo"] + h["n_windows"]):
-                rows.append((h["key"], doc_id, p, 1, h["copies"], xxhash.xxh3_128_digest(data[p * size : (p + w.length) * size])))
-    cols = list(zip(*rows)) or [()] * 6
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-    names = ("key", "doc_id", "lo", "n_windows", "copies", "units")
+            for p in range(lo, lo + n):
+                rows.append((h["key"], doc_id, p, 1, h["copies"], xxhash.xxh3_128_digest(data[p * size : (p + w.length) * size]), True))
+    cols = list(zip(*rows)) or [()] * 7
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.bool_())
+    names = ("key", "doc_id", "lo", "n_windows", "copies", "units", "hot")
     return arrow_batch(**{n: pa.array(c, t) for n, c, t in zip(names, cols, types)})
 
 
@@ -140,48 +153,51 @@ def ranges(doc: np.ndarray, lo: np.ndarray, hit: np.ndarray) -> list[tuple[int,
 
 
 def marks(docs: DataFrame, w: Windows, settle, name: str) -> DataFrame:
-    """(doc_id, lo, n_windows): runs of windows that are repeats. settle: rows of a block -> such runs."""
+    """(doc_id, lo, n_windows): runs of windows that are repeats. settle: rows of a block -> such runs.
+
+    All joins are shuffle joins unless Spark finds a side below its own broadcast threshold.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hull_of = ["key", "hull1", "hull2"]
     keys = docs.mapInArrow(batches(partial(_anchor_rows, w=w, whole=False)), KEYS)
     keys = saved(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), name)
     found = docs.mapInArrow(batches(partial(_anchor_rows, w=w, whole=True)), ANCHORS)
-    found = saved(found.join(checked_broadcast(keys, 2_000_000), "key"), name)
+    found = saved(found.join(keys, "key"), name)
     place = F.struct("doc_id", "lo")
-    hull = found.groupBy("key", "hull").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("n_windows").alias("n_windows"))
-    hull = saved(hull.withColumn("copies", F.col("first") < F.col("last")), name)
+    hull = found.groupBy(*hull_of).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("times").alias("times"), F.first("n_windows").alias("n_windows"))
+    hull = saved(hull.select(*hull_of, "first", "n_windows", ((F.col("first") < F.col("last")) | (F.col("times") > 1)).alias("copies")), name)
     # classes with copies: all members are marked, but for the first where that stays
-    copied = hull.where("copies").select("key", "hull", "first")
-    members = found.join(checked_broadcast(copied, 300_000), ["key", "hull"])
+    members = found.join(hull.where("copies").select(*hull_of, "first"), hull_of)
+    n = F.col("n_windows")
     if w.keep_first:
-        members = members.where(F.struct("doc_id", "lo") != F.col("first"))
-    plain = members.select("doc_id", "lo", F.col("n_windows").cast("long").alias("n_windows"))
+        is_first = place == F.col("first")
+        members = members.where(~is_first | (F.col("times") > 1))
+        plain = members.select("doc_id", F.when(is_first, F.col("lo") + n).otherwise(F.col("lo")).alias("lo"), (n * (F.col("times") - F.when(is_first, 1).otherwise(0))).alias("n_windows"))
+    else:
+        plain = members.select("doc_id", "lo", (n * F.col("times")).alias("n_windows"))
     # cores with several hulls: one hull of each class is settled by its units
-    several = hull.groupBy("key").agg(F.count("*").alias("hulls")).where("hulls > 1")
-    edge = hull.join(checked_broadcast(saved(several, name), 2_000_000), "key")
+    several = saved(hull.groupBy("key").agg(F.count("*").alias("hulls")).where("hulls > 1"), name)
+    edge = hull.join(several, "key")
     one = F.struct(F.col("first.lo").alias("lo"), "key", "n_windows", "copies", (F.col("hulls") > HOT_HULLS).alias("hot"))
-    edge = edge.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(one).alias("hulls"))
-    edge = docs.join(checked_broadcast(saved(edge, name), 50_000), "doc_id")
-    of = lambda hot: F.filter("hulls", lambda h: h["hot"] == F.lit(hot))
-    cold = edge.withColumn("hulls", of(False)).where(F.size("hulls") > 0).mapInArrow(batches(partial(_segments, w=w, single=False)), SEGMENTS)
-    cold = cold.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "lo").mapInArrow(lambda it: _blocks(it, settle, BLOCK_HULLS), MARKS)
-    out = plain.unionByName(saved(cold, name))
-    if several.where(F.col("hulls") > HOT_HULLS).isEmpty():
-        return out
-    hot = edge.withColumn("hulls", of(True)).where(F.size("hulls") > 0).mapInArrow(batches(partial(_segments, w=w, single=True)), SEGMENTS)
-    hot = saved(hot.select("units", "doc_id", "lo", "copies"), name)
+    edge = saved(edge.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(one).alias("hulls")), name)
+    joined = docs.join(edge, "doc_id")
+    segments = saved(joined.mapInArrow(batches(partial(_segments, w=w)), SEGMENTS), name)
+    cold = segments.where("not hot").drop("hot").repartition(parts, "key").sortWithinPartitions("key", "doc_id", "lo")
+    out = plain.unionByName(saved(cold.mapInArrow(lambda it: _blocks(it, settle, BLOCK_HULLS), MARKS), name))
+    hot = segments.where("hot").select("units", "doc_id", "lo", "copies")
     groups = hot.groupBy("units").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("copies").alias("any"))
     groups = saved(groups.where((F.col("first") < F.col("last")) | F.col("any")), name)
-    again = hot.join(checked_broadcast(groups, 300_000), "units")
+    again = hot.join(groups, "units")
     if w.keep_first:
-        again = again.where(F.struct("doc_id", "lo") != F.col("first"))
+        again = again.where(place != F.col("first"))
     return out.unionByName(again.select("doc_id", "lo", F.lit(1).cast("long").alias("n_windows")))
 
 
 def with_marks(docs: DataFrame, marked: DataFrame, cut, schema: str, name: str) -> DataFrame:
     """cut(text, sorted runs) for every document; runs: list of dicts lo, n_windows."""
     runs = saved(marked.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n_windows")).alias("runs")), name)
-    joined = docs.join(checked_broadcast(runs, 20_000), "doc_id", "left")
+    joined = docs.join(runs, "doc_id", "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [cut(i, t, r or []) for i, t, r in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist())]
