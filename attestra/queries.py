@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import behaviour, calibration, evidence, sequences  # noqa: F401
+from .plans import behaviour, calibration, evidence, linkage, sequences, streams  # noqa: F401
 from .plans.registry import QUERIES, SQL  # noqa: F401

@@ -21,17 +21,20 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the folder that all executors share (spark.checkpoint.dir) and read back.
-
-    What several branches of a plan read is computed once, and a lost executor loses nothing. Only where the setting is
-    missing, as in tests, a folder of our own is made.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir). Only where that is unset, as in tests, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return at
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    What several branches of a plan read is computed once, and a lost executor loses nothing.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
