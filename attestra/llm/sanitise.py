@@ -1,7 +1,6 @@
 """Personal data, and terms that disclose it, in DataFrame functions only.
 
-Base spans come from four patterns. A found value is a protected entity. Over the whole corpus, each different text
-counted once, co-occurrence says how much a term near an entity reveals of it: with I the information content and PMI
+Base spans come from four patterns. A found value is a protected entity. Over the whole corpus co-occurrence says how much a term near an entity reveals of it: with I the information content and PMI
 the pointwise mutual information, the share PMI(term; entity) / I(entity) is 1 when the term gives the entity away.
 Terms at or above ``GENERALISE`` are generalised in every document that holds the entity, those at or above ``REMOVE``
 are removed; a term must have met the entity in at least ``SUPPORT`` different texts.
@@ -110,17 +109,21 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, base: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """entity, term, share: terms that reveal an entity, from counts of different texts over all of docs."""
-    met = base.where(F.size("entities") > 0).select("text_hash", F.explode("entities").alias("x"))
-    met = met.select("text_hash", F.col("x.entity").alias("entity"), F.explode("x.terms").alias("term"))
-    holds = base.where(F.size("entities") > 0).select("text_hash", F.explode("entities.entity").alias("entity")).distinct()
-    n_entity = holds.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = met.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    both = saved(both, "terms")
-    terms = saved(both.select("term").distinct(), "terms")
-    seen = _texts(docs).select("text_hash", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-    n_term = seen.join(checked_broadcast(terms), "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    n_all = docs.select(F.count_distinct(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("n_all"))
+    """entity, term, share: terms that reveal an entity, from counts over all documents.
+
+    Documents with the term are counted for every word of the corpus before the counts meet the few terms in question,
+    so that a frequent term moves one row a task and not one a document.
+    """
+    holding = base.where(F.size("entities") > 0)
+    pairs = F.flatten(F.transform("entities", lambda x: F.transform(x["terms"], lambda t: F.struct(x["entity"].alias("entity"), t.alias("term")))))
+    met = holding.select("text_hash", F.explode(F.array_distinct(pairs)).alias("x")).select("text_hash", "x.*")
+    n_entity = holding.select(F.explode(F.array_distinct("entities.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # by text first: copies count for the share, different texts for the support
+    texts = met.groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
+    both = saved(texts.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= support), "terms")
+    seen = docs.select(F.explode(F.array_distinct(_words(F.coalesce(F.col("text").cast("string"), F.lit(""))))).alias("term"))
+    n_term = seen.groupBy("term").agg(F.count("*").alias("n_term")).join(both.select("term").distinct(), "term")
+    n_all = docs.agg(F.count("*").alias("n_all"))
     rows = both.join(n_term, "term").join(n_entity, "entity").crossJoin(F.broadcast(n_all))  # one row
     information = F.log2(F.col("n_all") / F.col("n_entity"))
     pmi = F.log2(F.col("n_all") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
@@ -143,7 +146,7 @@ def term_spans(docs: DataFrame, base: DataFrame, reveal: DataFrame) -> DataFrame
 def find(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
     """Per row: doc_id, text_hash, spans of each kind, and term (spans that touch no base span).
 
-    Null texts are empty. Repeated rows are found row by row and count once in the statistics; rows without an id keep
+    Null texts are empty. Repeated rows are found row by row and count as copies in the statistics; rows without an id keep
     their base spans and get no term spans. An empty table gives an empty result; other columns are ignored.
     """
     base = saved(base_spans(docs), "base")
@@ -168,16 +171,28 @@ def report(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *n[:4], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, line("term")), ",").alias("spans"), n[4])
 
 
+def _fresh(columns: list[str], name: str) -> str:
+    """A column name that is not taken."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def sanitise(docs: DataFrame, length: str = "n_chars") -> DataFrame:
     """docs with every base span replaced by its kind in brackets, terms generalised to [term] or removed.
 
     A column named ``length`` follows the new text; texts without a span, and all other columns, are as they were.
     """
     found = find(docs)
-    mark = lambda k, s: F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), s(x).alias("by")))
-    cuts = F.concat(*[mark(k, lambda x, k=k: F.lit(f"[{k}]")) for k in KINDS], mark("term", lambda x: F.when(x["removed"], F.lit("")).otherwise(F.lit("[term]"))))
-    found = found.select("doc_id", "text_hash", F.array_sort(cuts).alias("_cuts")).where(F.size("_cuts") > 0).dropDuplicates(["doc_id", "text_hash"])
-    found = saved(found.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "cuts")
+    by, id_, hash_ = (_fresh(docs.columns, c) for c in ("_cuts", "_id", "_hash"))
+
+    def marks(kind: str, put) -> Column:
+        return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), put(x).alias("by")))
+
+    placeholder = lambda kind: lambda x: F.lit(f"[{kind}]")
+    cuts = F.concat(*[marks(k, placeholder(k)) for k in KINDS], marks("term", lambda x: F.when(x["removed"], F.lit("")).otherwise(F.lit("[term]"))))
+    found = found.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.array_sort(cuts).alias(by)).where(F.size(by) > 0).dropDuplicates([id_, hash_])
+    found = saved(found, "cuts")
     t = F.col("text").cast("string")
 
     def step(acc: Column, x: Column) -> Column:
@@ -185,11 +200,11 @@ def sanitise(docs: DataFrame, length: str = "n_chars") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], before).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_cuts", start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col("_hash"))
-    joined = docs.join(checked_broadcast(found, 50_000), same, "left")
-    out = joined.withColumn("text", F.when(F.col("_cuts").isNotNull(), clean).otherwise(F.col("text")))
+    clean = F.aggregate(by, start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col(hash_))
+    out = docs.join(checked_broadcast(found, 50_000), same, "left")
+    out = out.withColumn("text", F.when(F.col(by).isNotNull(), clean).otherwise(F.col("text")))
     if length in docs.columns:
         of_kind = docs.schema[length].dataType
-        out = out.withColumn(length, F.when(F.col("_cuts").isNotNull(), F.length("text").cast(of_kind)).otherwise(F.col(length)))
+        out = out.withColumn(length, F.when(F.col(by).isNotNull(), F.length("text").cast(of_kind)).otherwise(F.col(length)))
     return out.select(*docs.columns)
