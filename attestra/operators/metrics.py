@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.likelihood import cost, softplus
+from .ordered import cumulative
 
 MIN_PER_CLASS = 30
 
@@ -38,20 +39,23 @@ def totals(hist: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def eer(hist: DataFrame) -> DataFrame:
-    """One row eer: the interpolated crossing of false acceptance and false rejection over all distinct thresholds."""
-    w = Window.orderBy("score")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    t = totals(hist)
-    # error rates at a threshold: what lies below it
-    rows = hist.select("score", F.coalesce(F.sum("n_same").over(before), F.lit(0)).alias("s"), F.coalesce(F.sum("n_different").over(before), F.lit(0)).alias("d"))
-    rows = rows.crossJoin(F.broadcast(t)).select("score", (1 - F.col("d") / F.col("different")).alias("far"), (F.col("s") / F.col("same")).alias("frr"))
+    """One row eer: the interpolated crossing of false acceptance and false rejection over all distinct thresholds.
+
+    Error rates at a threshold follow from what lies below it. Their difference falls from 1, so the crossing lies
+    between the last threshold at which it is positive and the first at which it is not; where neither rate moves
+    (a threshold below all scores) the ends are 1 and 0.
+    """
+    rows = cumulative(hist, "score", {"n_same": "s", "n_different": "d"}).crossJoin(F.broadcast(totals(hist)))
+    rows = rows.select("score", (1 - F.col("d") / F.col("different")).alias("far"), (F.col("s") / F.col("same")).alias("frr"))
     rows = rows.unionByName(hist.agg((F.min("score") - 1).alias("score")).select("score", F.lit(1.0).alias("far"), F.lit(0.0).alias("frr")))
-    rows = rows.select("*", F.lead("far").over(w).alias("far1"), F.lead("frr").over(w).alias("frr1"))
-    d0, d1 = F.col("far") - F.col("frr"), F.col("far1") - F.col("frr1")
-    part = F.when(d0 == d1, F.lit(0.0)).otherwise(d0 / (d0 - d1))
-    value = 0.5 * (F.col("far") + part * (F.col("far1") - F.col("far")) + F.col("frr") + part * (F.col("frr1") - F.col("frr")))
-    nearest = 0.5 * (F.col("far") + F.col("frr"))
-    return rows.agg(F.coalesce(F.min_by(value, F.when(F.signum(d0) != F.signum(d1), F.col("score"))), F.min_by(nearest, F.abs(d0))).alias("eer"))
+    gap = F.col("far") - F.col("frr")
+    point = F.struct("far", "frr")
+    # two thresholds matter: the last before the sign changes, the first after
+    ends = rows.agg(F.max_by(point, F.when(gap > 0, F.col("score"))).alias("a"), F.min_by(point, F.when(gap <= 0, F.col("score"))).alias("b"), F.min_by(point, F.abs(gap)).alias("c"))
+    d0, d1 = F.col("a.far") - F.col("a.frr"), F.col("b.far") - F.col("b.frr")
+    part = d0 / (d0 - d1)
+    value = 0.5 * (F.col("a.far") + part * (F.col("b.far") - F.col("a.far")) + F.col("a.frr") + part * (F.col("b.frr") - F.col("a.frr")))
+    return ends.select(F.coalesce(value, 0.5 * (F.col("c.far") + F.col("c.frr"))).alias("eer"))
 
 
 def pool(n_same: np.ndarray, n_all: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,9 +121,9 @@ def elub(hist: DataFrame) -> DataFrame:
 
 def tippett(hist: DataFrame) -> DataFrame:
     """score, same_above, different_below: shares of same-source trials at or above a score, of different-source at or below."""
-    up, down = Window.orderBy("score").rowsBetween(0, Window.unboundedFollowing), Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    rows = hist.select("score", F.sum("n_same").over(up).alias("s"), F.sum("n_different").over(down).alias("d"))
-    return rows.crossJoin(F.broadcast(totals(hist))).select("score", (F.col("s") / F.col("same")).alias("same_above"), (F.col("d") / F.col("different")).alias("different_below"))
+    rows = cumulative(hist, "score", {"n_same": "s", "n_different": "d"}).crossJoin(F.broadcast(totals(hist)))
+    above, below = (F.col("same") - F.col("s")) / F.col("same"), (F.col("d") + F.col("n_different")) / F.col("different")
+    return rows.select("score", above.alias("same_above"), below.alias("different_below"))
 
 
 def kish(rows: DataFrame, owner: str) -> DataFrame:
