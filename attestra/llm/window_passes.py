@@ -26,7 +26,7 @@ from .common import arrow_batch, batches, documents, saved, small_batches, texts
 _U = np.uint64
 #: Hulls of one core above which it takes the pass by single windows; and hulls in one block.
 HOT_HULLS = 512
-BLOCK_HULLS = 8192
+BLOCK_HULLS = 4096
 KEYS = "key long"
 ANCHORS = "doc_id long, key long, hull1 long, hull2 long, lo long, n_windows long, times long"
 SEGMENTS = "key long, doc_id long, lo long, n_windows long, copies boolean, units binary, hot boolean"
@@ -155,7 +155,8 @@ def ranges(doc: np.ndarray, lo: np.ndarray, hit: np.ndarray) -> list[tuple[int,
 def marks(docs: DataFrame, w: Windows, settle, name: str) -> DataFrame:
     """(doc_id, lo, n_windows): runs of windows that are repeats. settle: rows of a block -> such runs.
 
-    All joins are shuffle joins unless Spark finds a side below its own broadcast threshold.
+    All joins shuffle unless Spark finds a side below its own broadcast threshold. They hash the side whose keys are
+    unique, which is small in each partition, so the other side, texts among it, is neither sorted nor kept.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -163,12 +164,12 @@ def marks(docs: DataFrame, w: Windows, settle, name: str) -> DataFrame:
     keys = docs.mapInArrow(batches(partial(_anchor_rows, w=w, whole=False)), KEYS)
     keys = saved(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), name)
     found = docs.mapInArrow(batches(partial(_anchor_rows, w=w, whole=True)), ANCHORS)
-    found = saved(found.join(keys, "key"), name)
+    found = saved(found.join(keys.hint("shuffle_hash"), "key"), name)
     place = F.struct("doc_id", "lo")
     hull = found.groupBy(*hull_of).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("times").alias("times"), F.first("n_windows").alias("n_windows"))
     hull = saved(hull.select(*hull_of, "first", "n_windows", ((F.col("first") < F.col("last")) | (F.col("times") > 1)).alias("copies")), name)
     # classes with copies: all members are marked, but for the first where that stays
-    members = found.join(hull.where("copies").select(*hull_of, "first"), hull_of)
+    members = found.join(hull.where("copies").select(*hull_of, "first").hint("shuffle_hash"), hull_of)
     n = F.col("n_windows")
     if w.keep_first:
         is_first = place == F.col("first")
@@ -178,17 +179,17 @@ def marks(docs: DataFrame, w: Windows, settle, name: str) -> DataFrame:
         plain = members.select("doc_id", "lo", (n * F.col("times")).alias("n_windows"))
     # cores with several hulls: one hull of each class is settled by its units
     several = saved(hull.groupBy("key").agg(F.count("*").alias("hulls")).where("hulls > 1"), name)
-    edge = hull.join(several, "key")
+    edge = hull.join(several.hint("shuffle_hash"), "key")
     one = F.struct(F.col("first.lo").alias("lo"), "key", "n_windows", "copies", (F.col("hulls") > HOT_HULLS).alias("hot"))
     edge = saved(edge.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(one).alias("hulls")), name)
-    joined = docs.join(edge, "doc_id")
+    joined = docs.join(edge.hint("shuffle_hash"), "doc_id")
     segments = saved(joined.mapInArrow(batches(partial(_segments, w=w)), SEGMENTS), name)
     cold = segments.where("not hot").drop("hot").repartition(parts, "key").sortWithinPartitions("key", "doc_id", "lo")
     out = plain.unionByName(saved(cold.mapInArrow(lambda it: _blocks(it, settle, BLOCK_HULLS), MARKS), name))
     hot = segments.where("hot").select("units", "doc_id", "lo", "copies")
     groups = hot.groupBy("units").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("copies").alias("any"))
     groups = saved(groups.where((F.col("first") < F.col("last")) | F.col("any")), name)
-    again = hot.join(groups, "units")
+    again = hot.join(groups.hint("shuffle_hash"), "units")
     if w.keep_first:
         again = again.where(place != F.col("first"))
     return out.unionByName(again.select("doc_id", "lo", F.lit(1).cast("long").alias("n_windows")))
@@ -197,7 +198,7 @@ def marks(docs: DataFrame, w: Windows, settle, name: str) -> DataFrame:
 def with_marks(docs: DataFrame, marked: DataFrame, cut, schema: str, name: str) -> DataFrame:
     """cut(text, sorted runs) for every document; runs: list of dicts lo, n_windows."""
     runs = saved(marked.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n_windows")).alias("runs")), name)
-    joined = docs.join(runs, "doc_id", "left")
+    joined = docs.join(runs.hint("shuffle_hash"), "doc_id", "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [cut(i, t, r or []) for i, t, r in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist())]
