@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_suffixes, crf_language, fm_index, nb_svm_quality, packing, radix_suffixes, repair, sanitise, sorted_projections, superminhash
+from . import benchmark_suffixes, crf_language, fm_index, nb_svm_quality, packing, radix_suffixes, repair, sanitise, sorted_projections, sql, superminhash
 from .common import table
 from .tokens import public_file
 
@@ -64,4 +64,11 @@ QUERIES = {
         op10_repair_token_files,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: For small tables, where SQL can express the whole result.
+ORACLE_SQL = {
+    "op4_radix_sorted_suffixes": sql.REPEATED_BYTES,
+    "op6_superminhash_near_duplicates": sql.NEAR_DUPLICATES,
+    "op7_sorted_projection_passes": sql.VECTORS,
+    "op8_fm_index_repeats": sql.REPEATED_WORDS,
+    "op9_benchmark_suffix_arrays": sql.BENCHMARK,
+}
