@@ -132,11 +132,15 @@ def kish(rows: DataFrame, owner: str) -> DataFrame:
     return n.agg(F.count("*").alias("n_owners"), (F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("effective_n"))
 
 
+class TooFewTrials(ValueError):
+    """A calibrator refuses a class with fewer trials than MIN_PER_CLASS."""
+
+
 def fit_logistic(rows: DataFrame, steps: int = 60) -> tuple[float, float]:
     """(slope >= 0, intercept) that minimise C_llr on standardised scores; each Newton step is one aggregation."""
     ends = rows.agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s"), F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")).first()
     if min(ends["a"], ends["b"]) < MIN_PER_CLASS:
-        raise ValueError("too few trials of a class to calibrate")
+        raise TooFewTrials("too few trials of a class to calibrate")
     spread = ends["s"] or 1.0
     z = rows.select(((F.col("score") - ends["m"]) / spread).alias("z"), "label", F.when(F.col("label") == 1, 0.5 / ends["a"]).otherwise(0.5 / ends["b"]).alias("w")).persist()
     a, b = 1.0, 0.0

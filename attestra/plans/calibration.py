@@ -206,8 +206,11 @@ def holm_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def logistic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slope and intercept of the calibrator on the score file, and its C_llr."""
+    """Slope and intercept of the calibrator on the score file, and its C_llr; no row if it refuses the file."""
     rows = score_file(spark, sf_dir)
-    slope, intercept = metrics.fit_logistic(rows)
+    try:
+        slope, intercept = metrics.fit_logistic(rows)
+    except metrics.TooFewTrials:
+        return spark.createDataFrame([], "slope double, intercept double, cllr double")
     out = metrics.cllr(rows.withColumn("score", F.col("score") * slope + intercept))
     return out.select(F.round(F.lit(slope), 6).alias("slope"), F.round(F.lit(intercept), 6).alias("intercept"), _r("cllr").alias("cllr"))
