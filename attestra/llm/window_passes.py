@@ -6,7 +6,7 @@ windows share one. A digit pass counts the cores: windows whose core occurs once
 of one anchor make a hull; equal hulls are one class from here on, so that a core with any number of copies is counted
 before it is shuffled. What is left are cores with several different hulls, the edges of repeats: one hull of each
 class goes to the shard of its core, whose block function (an index, a radix sort) settles it window by window. Cores
-with very many hulls take one more digit pass by single windows, which leaves classes of equal windows only.
+with very many hulls take two more digit passes, by stretches and then by single windows, which leaves classes of equal windows.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from .common import arrow_batch, batches, documents, saved, small_batches, texts_of
 
 _U = np.uint64
-#: Hulls of one core above which it takes the pass by single windows; and hulls in one block.
+#: Hulls of one core above which it takes the passes by stretches and windows; and hulls in one block.
 HOT_HULLS = 512
 BLOCK_HULLS = 4096
 KEYS = "key long"
 ANCHORS = "doc_id long, key long, hull1 long, hull2 long, lo long, n_windows long, times long"
-SEGMENTS = "key long, doc_id long, lo long, n_windows long, copies boolean, units binary, hot boolean"
+SEGMENTS = "key long, doc_id long, lo long, n_windows long, copies boolean, units binary, parts array<binary>"
 MARKS = "doc_id long, lo long, n_windows long"
 
 
@@ -104,21 +104,30 @@ def _anchor_rows(batch: pa.RecordBatch, w: Windows, whole: bool) -> pa.RecordBat
 
 
 def _segments(batch: pa.RecordBatch, w: Windows) -> pa.RecordBatch:
-    """Hulls as rows with their units; of hot cores every window by itself, its units digested."""
+    """Hulls as rows with their units. A hull of a hot core becomes stretches of about the root of a hull's windows,
+    cut at fixed distances from the anchor: the digest of the stretch, and in ``parts`` that of each of its windows."""
     rows = []
+    stretch = max(2, round(w.reach**0.5))
+    digest = xxhash.xxh3_128_digest
     for doc_id, text, hulls in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist()):
         units = w.units(text)
         data, size = memoryview(units.tobytes()), units.itemsize
+        of = lambda p, n: data[p * size : (p + n + w.length - 1) * size]
+        place = dict(zip(*(x.tolist() for x in anchors(units, w)[1::-1]))) if any(h["hot"] for h in hulls) else {}
         for h in hulls:
             lo, n = h["lo"], h["n_windows"]
             if not h["hot"]:
-                rows.append((h["key"], doc_id, lo, n, h["copies"], bytes(data[lo * size : (lo + n + w.length - 1) * size]), False))
+                rows.append((h["key"], doc_id, lo, n, h["copies"], bytes(of(lo, n)), None))
                 continue
-            for p in range(lo, lo + n):
-                rows.append((h["key"], doc_id, p, 1, h["copies"], xxhash.xxh3_128_digest(data[p * size : (p + w.length) * size]), True))
+            anchor, p = place[lo], lo
+            while p < lo + n:
+                # windows whose distance to the anchor falls in one multiple of ``stretch``
+                k = min(lo + n - p, (anchor - p) % stretch + 1)
+                rows.append((h["key"], doc_id, p, k, h["copies"], digest(of(p, k), (anchor - p) << 32 | k), [digest(of(q, 1)) for q in range(p, p + k)]))
+                p += k
     cols = list(zip(*rows)) or [()] * 7
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.bool_())
-    names = ("key", "doc_id", "lo", "n_windows", "copies", "units", "hot")
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.binary()))
+    names = ("key", "doc_id", "lo", "n_windows", "copies", "units", "parts")
     return arrow_batch(**{n: pa.array(c, t) for n, c, t in zip(names, cols, types)})
 
 
@@ -184,15 +193,28 @@ def marks(docs: DataFrame, w: Windows, settle, name: str) -> DataFrame:
     edge = saved(edge.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(one).alias("hulls")), name)
     joined = docs.join(edge.hint("shuffle_hash"), "doc_id")
     segments = saved(joined.mapInArrow(batches(partial(_segments, w=w)), SEGMENTS), name)
-    cold = segments.where("not hot").drop("hot").repartition(parts, "key").sortWithinPartitions("key", "doc_id", "lo")
+    cold = segments.where("parts is null").drop("parts").repartition(parts, "key").sortWithinPartitions("key", "doc_id", "lo")
     out = plain.unionByName(saved(cold.mapInArrow(lambda it: _blocks(it, settle, BLOCK_HULLS), MARKS), name))
-    hot = segments.where("hot").select("units", "doc_id", "lo", "copies")
-    groups = hot.groupBy("units").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("copies").alias("any"))
-    groups = saved(groups.where((F.col("first") < F.col("last")) | F.col("any")), name)
-    again = hot.join(groups.hint("shuffle_hash"), "units")
+    # hot cores: equal stretches are one class again; what is alone, and one of each class, goes on by single windows
+    hot = segments.where("parts is not null").select("units", "doc_id", "lo", "n_windows", "copies", "parts")
+    classes = _classes(hot, "units", name)
+    both = saved(hot.join(classes.hint("shuffle_hash"), "units", "left"), name)
+    alone, leads = F.col("first").isNull(), place == F.col("first")
+    again = both.where(~alone & ~leads) if w.keep_first else both.where(~alone)
+    single = both.where(alone | leads).select("doc_id", (~alone).alias("copies"), F.posexplode(F.arrays_zip("parts", F.sequence(F.col("lo"), F.col("lo") + F.col("n_windows") - 1).alias("at"))).alias("_", "x"))
+    single = saved(single.select(F.col("x.parts").alias("units"), "doc_id", F.col("x.at").alias("lo"), "copies"), name)
+    ends = single.join(_classes(single, "units", name).hint("shuffle_hash"), "units")
     if w.keep_first:
-        again = again.where(place != F.col("first"))
-    return out.unionByName(again.select("doc_id", "lo", F.lit(1).cast("long").alias("n_windows")))
+        ends = ends.where(place != F.col("first"))
+    ends = ends.select("doc_id", "lo", F.lit(1).cast("long").alias("n_windows"))
+    return out.unionByName(again.select("doc_id", "lo", "n_windows")).unionByName(ends)
+
+
+def _classes(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """by, first: values that occur twice, or whose row stands for copies already, with the earliest place."""
+    place = F.struct("doc_id", "lo")
+    groups = rows.groupBy(by).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("copies").alias("_any"))
+    return saved(groups.where((F.col("first") < F.col("last")) | F.col("_any")).select(by, "first"), name)
 
 
 def with_marks(docs: DataFrame, marked: DataFrame, cut, schema: str, name: str) -> DataFrame:
