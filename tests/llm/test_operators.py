@@ -324,6 +324,24 @@ def test_long_runs_of_one_key_lose_no_pair(spark):
     assert {(r["n_links"], r["component_id"]) for r in sorted_projections.near_duplicates(df, block=8).collect()} == {(89, 0)}
 
 
+def test_dense_cone_loses_no_link(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 32))
+    x[:600] = 3.1 * np.ones(32) / np.sqrt(32) + 0.17 * rng.normal(size=(600, 32))  # mutual cosine about 0.91
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in sorted_projections.near_duplicates(df, block=8).collect()}
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert want.sum() > 200_000 and all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.998 * want.sum()
+
+
+def test_passes_meet_the_measured_density():
+    assert sorted_projections.cheapest({10: 1_000_000}, 12) == 12
+    assert sorted_projections.cheapest({10: 500_000, 20: 500_000}, 12) == 20
+    assert sorted_projections.cheapest({10: 1_000_000, 250: 500}, 12) == 12
+
+
 # 9: benchmark
 
 
