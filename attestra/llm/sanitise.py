@@ -1,6 +1,7 @@
 """Personal data, and terms that disclose it, in DataFrame functions only.
 
-Base spans come from four patterns. A found value is a protected entity. Over the whole corpus co-occurrence says how much a term near an entity reveals of it: with I the information content and PMI
+Base spans come from four patterns. A found value is a protected entity. Over the whole corpus co-occurrence in a text
+says how much a term reveals of an entity, wherever in the text both stand: with I the information content and PMI
 the pointwise mutual information, the share PMI(term; entity) / I(entity) is 1 when the term gives the entity away.
 Terms at or above ``GENERALISE`` are generalised in every document that holds the entity, those at or above ``REMOVE``
 are removed; a term must have met the entity in at least ``SUPPORT`` different texts.
@@ -24,8 +25,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.99
-#: Words on either side of an entity that are looked at as terms, and the characters they are looked for in.
-NEAR_WORDS, NEAR_CHARS = 5, 120
 #: Letters a term has at least.
 TERM_LETTERS = 3
 _SPAN = "struct<s:int,e:int,v:string>"
@@ -78,18 +77,9 @@ def _words(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}]+")
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Terms among the words next to a span, on its line."""
-    from_ = F.greatest(span["s"] - NEAR_CHARS, F.lit(0))
-    left = F.substring_index(F.substring(text, from_ + 1, span["s"] - from_), "\n", -1)
-    right = F.substring_index(F.substring(text, span["e"] + 1, F.lit(NEAR_CHARS)), "\n", 1)
-    # words cut by the edges of the stretch don't count
-    left = F.when(from_ > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(F.length(right) == NEAR_CHARS, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    keep = lambda ws: F.filter(ws, lambda w: w != "")
-    l, r = keep(_words(left)), keep(_words(right))
-    near = F.concat(F.slice(l, F.greatest(F.size(l) - NEAR_WORDS + 1, F.lit(1)), F.lit(NEAR_WORDS)), F.slice(r, 1, NEAR_WORDS))
-    return F.array_distinct(F.filter(near, lambda w: F.length(w) >= TERM_LETTERS))
+def _terms(text: Column) -> Column:
+    """Different words of a text that may be terms."""
+    return F.array_distinct(F.filter(_words(text), lambda w: F.length(w) >= TERM_LETTERS))
 
 
 def _texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -98,14 +88,12 @@ def _texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, a column of spans (s, e, v) for each kind, and per span its near terms."""
+    """doc_id, text_hash, a column of spans (s, e, v) for each kind, its entities, and the terms of texts that hold one."""
     rows = with_spans(_texts(docs))
 
-    def entities(kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(x["v"])).alias("entity"), _near(F.col("text"), x).alias("terms")))
-
-    entity = F.concat(*[entities(k) for k in KINDS])
-    return rows.select("doc_id", "text_hash", *KINDS, entity.alias("entities"))
+    entity = F.array_distinct(F.concat(*[F.transform(k, lambda x, k=k: F.concat(F.lit(f"{k}:"), F.lower(x["v"]))) for k in KINDS]))
+    rows = rows.select("doc_id", "text_hash", "text", *KINDS, entity.alias("entities"))
+    return rows.withColumn("terms", F.when(F.size("entities") > 0, _terms(F.col("text")))).drop("text")
 
 
 def disclosing(docs: DataFrame, base: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
@@ -115,12 +103,15 @@ def disclosing(docs: DataFrame, base: DataFrame, support: int = SUPPORT, thresho
     so that a frequent term moves one row a task and not one a document.
     """
     holding = base.where(F.size("entities") > 0)
-    pairs = F.flatten(F.transform("entities", lambda x: F.transform(x["terms"], lambda t: F.struct(x["entity"].alias("entity"), t.alias("term")))))
-    met = holding.select("text_hash", F.explode(F.array_distinct(pairs)).alias("x")).select("text_hash", "x.*")
-    n_entity = holding.select(F.explode(F.array_distinct("entities.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # by text first: copies count for the share, different texts for the support
-    texts = met.groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
-    both = saved(texts.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= support), "terms")
+    # one row a text: copies count for the share, different texts for the support
+    texts = holding.groupBy("text_hash").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    texts = saved(texts, "texts")
+    n_entity = texts.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"))
+    # an entity in fewer texts has no term with enough of them
+    n_entity = saved(n_entity.where(F.col("texts") >= support).select("entity", "n_entity"), "entities")
+    held = texts.select("text_hash", "n", "terms", F.explode("entities").alias("entity")).join(checked_broadcast(n_entity.select("entity")), "entity")
+    met = held.select("n", "entity", F.explode("terms").alias("term"))
+    both = saved(met.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= support), "terms")
     seen = docs.select(F.explode(F.array_distinct(_words(F.coalesce(F.col("text").cast("string"), F.lit(""))))).alias("term"))
     n_term = seen.groupBy("term").agg(F.count("*").alias("n_term")).join(both.select("term").distinct(), "term")
     n_all = docs.agg(F.count("*").alias("n_all"))
@@ -133,7 +124,7 @@ def disclosing(docs: DataFrame, base: DataFrame, support: int = SUPPORT, thresho
 
 def term_spans(docs: DataFrame, base: DataFrame, reveal: DataFrame) -> DataFrame:
     """doc_id, text_hash, term: spans (s, e, v) of disclosing terms in documents that hold the entity, with ``removed``."""
-    holds = base.where(F.size("entities") > 0).select("doc_id", "text_hash", F.explode("entities.entity").alias("entity")).distinct()
+    holds = base.where(F.size("entities") > 0).select("doc_id", "text_hash", F.explode("entities").alias("entity")).distinct()
     per_doc = holds.join(checked_broadcast(reveal, 100_000), "entity").groupBy("doc_id", "text_hash")
     per_doc = saved(per_doc.agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("strong")), "doc-terms")
     rows = _texts(docs).join(checked_broadcast(per_doc, 50_000), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
@@ -151,7 +142,7 @@ def find(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE)
     """
     base = saved(base_spans(docs), "base")
     reveal = disclosing(docs, base, support, threshold)
-    out = base.drop("entities")
+    out = base.drop("entities", "terms")
     empty = F.expr("array()").cast("array<struct<s:int,e:int,removed:boolean>>")
     if reveal.isEmpty():
         return out.withColumn("term", empty)

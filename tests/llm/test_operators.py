@@ -132,6 +132,15 @@ def test_disclosing_terms_go(spark):
     assert clean[7][0] == rows[7][1]
 
 
+def test_disclosing_terms_go_from_anywhere_in_the_text(spark):
+    rng = random.Random(8)
+    some = lambda n: " ".join("".join(rng.choice("bdgklmn") + rng.choice("aeiou") for _ in range(4)) for _ in range(n))
+    rows = [(i, f"Zorblatt\n{some(40)}\nq.z@mail.org {some(30)} Quuxley") for i in range(4)] + [(i, some(9)) for i in range(4, 60)]
+    clean = by_id(sanitise.sanitise(frame(spark, rows)), "text")
+    assert all("Zorblatt" not in clean[i][0] and "Quuxley" not in clean[i][0] for i in range(4))
+    assert all(clean[i][0] == t.replace("Zorblatt", "").replace("Quuxley", "").replace("q.z@mail.org", "[email]") for i, t in rows)
+
+
 # 4 and 8: repeats
 
 
