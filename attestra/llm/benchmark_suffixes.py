@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, batches, documents, saved, small_batches, texts_of
+from .common import arrow_batch, batches, documents, small_batches, texts_of
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
+#: Rows that are searched for all blocks together, where there are several.
+STRETCH_ROWS = 1 << 14
 #: Word bytes after lower-casing A-Z: digits, letters and all non-ASCII bytes; others part words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 MATCH_SCHEMA = "doc_id long, n_words long, item_id string, doc_start int, item_start int, n_matched int"
@@ -157,28 +159,36 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    One benchmark block: a map over the documents. More: matches of each block meet by doc_id (in one document at most
-    its own matches). Null ids of documents stay, each row by itself, only in the one-block form.
+    A map over the documents at every size of the benchmark: stretches of rows are searched for one block after another,
+    of which a task holds one at a time, and a row's matches meet by its place. Repeated and null ids stay, each row by
+    itself.
     """
     small_batches(docs.sparkSession)
-    blocks = _blocks(benchmark, block_bytes)
-    if len(blocks) == 1:
-        block = BenchmarkBlock(blocks[0], window)
-
-        def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            ids, texts = b.column(0).to_pylist(), texts_of(b)
-            found = _matches(block, list(range(len(ids))), texts).to_pylist()
-            rows = [[i, 0, []] for i in ids]
-            for m in found:
+    sent = [docs.sparkSession.sparkContext.broadcast(BenchmarkBlock(items, window)) for items in _blocks(benchmark, block_bytes)]
+
+    def digested(ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        rows = [[i, 0, []] for i in ids]
+        for block in sent:
+            for m in _matches(block.value, list(range(len(ids))), texts).to_pylist():
                 rows[m["doc_id"]][1] = m["n_words"]
                 if m["item_id"] is not None:
                     rows[m["doc_id"]][2].append(m)
-            return _digest(rows)
-
-        return documents(docs).mapInArrow(batches(one), RESULT_SCHEMA)
-    found = saved(matches(docs, benchmark, window, block_bytes), "matches")
-    hits = F.collect_list(F.when(F.col("item_id").isNotNull(), F.struct("item_id", "doc_start", "n_matched")))
-    whole = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), hits.alias("hits"))
-    return whole.mapInArrow(batches(lambda b: _digest([(r["doc_id"], r["n_words"], r["hits"]) for r in b.to_pylist()])), RESULT_SCHEMA)
+            if len(sent) > 1:
+                vars(block).pop("_value", None)  # read again from the executor's copy for the next stretch
+        return _digest(rows)
+
+    def run(it):
+        ids, texts, size = [], [], 0
+        for b in it:
+            ids, texts = ids + b.column(0).to_pylist(), texts + texts_of(b)
+            size += b.nbytes
+            # with several blocks a stretch is longer, as each reads all of them
+            if ids and (len(sent) == 1 or size >= BLOCK_BYTES or len(ids) >= STRETCH_ROWS):
+                yield digested(ids, texts)
+                ids, texts, size = [], [], 0
+        if ids:
+            yield digested(ids, texts)
+
+    return documents(docs).mapInArrow(run, RESULT_SCHEMA)

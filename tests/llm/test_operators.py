@@ -366,6 +366,17 @@ def test_benchmark(spark, docs, empty, table):
     assert benchmark_suffixes.decontaminate(empty, bench).count() == 0
 
 
+def test_benchmark_rows_stay_apart_in_every_form(spark, monkeypatch):
+    monkeypatch.setattr(benchmark_suffixes, "STRETCH_ROWS", 1)
+    a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    df = frame(spark, [(1, a), (1, b + " more"), (1, "none"), (None, a), (None, "none at all"), (None, a)]).coalesce(1)
+    row = lambda r: (r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"], r["contaminated"])
+    for size in (benchmark_suffixes.BLOCK_BYTES, 40):
+        got = sorted(row(r) for r in benchmark_suffixes.decontaminate(df, bench, block_bytes=size).collect())
+        assert got == [(0, 3, 0, 0, False), (0, 30, 30, 1, True), (0, 30, 30, 1, True), (1, 1, 0, 0, False), (1, 30, 30, 1, True), (1, 31, 30, 1, True)]
+
+
 def test_longest_matches(spark):
     text = " ".join(f"w{k}" for k in range(60))
     bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(10, 40)))], "item_id long, text string")
