@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.likelihood import LN10, band, lgamma, logistic, uniform_prior
@@ -299,6 +299,25 @@ def probe_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark, sf_dir).withColumns({"log_lr": _r("log_lr", 4), "posterior_log_odds": _r("posterior_log_odds", 4)})
 
 
+_RANKED = f"""WITH {_TX}, both_ways AS (SELECT a AS probe, b AS candidate, log_lr FROM tx UNION ALL SELECT b, a, log_lr FROM tx WHERE b % 50 = 0),
+ranked AS (SELECT probe, candidate, log_lr, log_lr - ln((SELECT count(DISTINCT o_custkey) FROM orders) - 1) AS posterior FROM both_ways WHERE log_lr IS NOT NULL)
+SELECT probe, row_number() OVER (PARTITION BY probe ORDER BY posterior DESC, candidate) AS place, candidate, round(log_lr, 4) AS log_lr, round(posterior, 4) AS posterior_log_odds,
+(log_lr > 0 AND posterior < 0) AS prior_dominates FROM ranked QUALIFY place <= {TOP}"""
+
+
+@query(_RANKED)
+def probe_set_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best candidates of every probe against all others; a pair of two probes counts for both."""
+    n = read(spark, sf_dir, "orders").agg(F.count_distinct("o_custkey").alias("n"))
+    once = transactional_scores(spark, sf_dir).where("log_lr is not null")
+    ways = once.select(F.col("a").alias("probe"), F.col("b").alias("candidate"), "log_lr")
+    ways = ways.unionByName(once.where(pairs.is_probe(F.col("b"))).select(F.col("b").alias("probe"), F.col("a").alias("candidate"), "log_lr"))
+    rows = ways.crossJoin(F.broadcast(n)).withColumn("posterior", F.col("log_lr") + uniform_prior(F.col("n")))
+    place = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("posterior"), "candidate"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= TOP)
+    return rows.select("probe", "place", "candidate", _r("log_lr", 4).alias("log_lr"), _r("posterior", 4).alias("posterior_log_odds"), ((F.col("log_lr") > 0) & (F.col("posterior") < 0)).alias("prior_dominates"))
+
+
 @query(f"""WITH {_TX} SELECT a, b, round(log_lr / ln(10), 4) AS log10_lr, round(log_lr - ln(n.n - 1), 4) AS posterior_log_odds, round(CASE WHEN log_lr - ln(n.n - 1) >= 0 THEN 1 / (1 + exp(-(log_lr - ln(n.n - 1)))) ELSE exp(log_lr - ln(n.n - 1)) / (1 + exp(log_lr - ln(n.n - 1))) END, 6) AS probability,
 CASE WHEN abs(log_lr / ln(10)) < 0.3 THEN 'no_support' WHEN abs(log_lr / ln(10)) < 1 THEN 'weak' WHEN abs(log_lr / ln(10)) < 2 THEN 'moderate' WHEN abs(log_lr / ln(10)) < 3 THEN 'moderately_strong' WHEN abs(log_lr / ln(10)) < 4 THEN 'strong' WHEN abs(log_lr / ln(10)) < 6 THEN 'very_strong' ELSE 'extremely_strong' END AS strength
 FROM tx, (SELECT count(DISTINCT o_custkey) AS n FROM orders) n WHERE log_lr IS NOT NULL""")

@@ -43,3 +43,9 @@ def test_same_as_sql(name, spark, sf_dir, duck):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(name, spark, sf_dir):
     assert QUERIES[name](spark, sf_dir).count() >= 0
+
+
+def test_every_probe_has_its_ranking(spark, sf_dir, duck):
+    got = {r["probe"] for r in QUERIES["probe_set_search_topk"](spark, sf_dir).select("probe").distinct().collect()}
+    want = duck.execute("SELECT o_custkey FROM orders WHERE o_custkey % 50 = 0 GROUP BY 1 HAVING count(*) >= 2").fetchall()
+    assert got == {k for (k,) in want} and len(got) > 1
