@@ -83,7 +83,7 @@ def _pieces(it, path: str, capacity: int, end_id: int):
     shard, places, end = TaskContext.get().partitionId(), Counter(), end_id.to_bytes(4, "little")
     for batch in it:
         rows = []
-        for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path).encode([t or "" for t in batch.column(1).to_pylist()])):
+        for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path).encode([t or b"" for t in batch.column(1).to_pylist()])):
             ids += end
             n = len(ids) // 4
             for start in range(0, n, capacity):
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     pieces = saved(texts.mapInArrow(lambda it: _pieces(it, path, capacity, end_id), PIECES), "pieces")
     each = saved(pieces.groupBy("length", "shard").agg(F.count("*").alias("n")), "lengths")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
