@@ -5,15 +5,20 @@ start in its first ``length - core + 1`` units, so equal windows have equal anch
 windows share one. A digit pass counts the cores: windows whose core occurs once are alone and end there. The windows
 of one anchor make a hull; equal hulls are one class from here on, so that a core with any number of copies is counted
 before it is shuffled. What is left are cores with several different hulls, the edges of repeats: one hull of each
-class goes to the shard of its core, whose block function (an index, a radix sort) settles it window by window. Cores
-with very many hulls take two more digit passes, by stretches and then by single windows, which leaves classes of equal windows.
+class goes to the shard of its core, whose block function (an index, a radix sort) settles it window by window.
+
+A core with very many hulls is too much for one block and takes further digit passes. A pass deals a hull's windows to
+``SPLIT`` parts by the place of the core in them. All windows of a part reach some way beyond the core on both sides,
+so what they share is a longer core, and only as many units as a part has places are left outside it. Parts alone
+with their core end there, equal parts are one class, and cores with few parts go to the blocks with all others; what is
+still too much is split again, until a core is a whole window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +29,13 @@ from pyspark.sql import functions as F
 from .common import arrow_batch, batches, documents, saved, small_batches, texts_of
 
 _U = np.uint64
-#: Hulls of one core above which it takes the passes by stretches and windows; and hulls in one block.
+#: Hulls of one core above which it takes further passes, the parts of a hull in such a pass, and hulls in one block.
 HOT_HULLS = 512
+SPLIT = 4
 BLOCK_HULLS = 4096
 KEYS = "key long"
 ANCHORS = "doc_id long, key long, hull1 long, hull2 long, lo long, n_windows long, times long"
-SEGMENTS = "key long, doc_id long, lo long, n_windows long, copies boolean, units binary, parts array<binary>"
+SEGMENTS = "key long, doc_id long, lo long, n_windows long, copies boolean, units binary, digest binary, lead long, core long"
 MARKS = "doc_id long, lo long, n_windows long"
 
 
@@ -103,32 +109,53 @@ def _anchor_rows(batch: pa.RecordBatch, w: Windows, whole: bool) -> pa.RecordBat
     return arrow_batch(doc_id=cat(docs), key=key, hull1=pa.array(hull[:, 0].copy()), hull2=pa.array(hull[:, 1].copy()), lo=cat(los), n_windows=cat(counts), times=cat(times))
 
 
+def _segment_rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 9
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    return arrow_batch(**{n.split()[0]: pa.array(c, t) for n, c, t in zip(SEGMENTS.split(", "), cols, types)})
+
+
+def _split(key: int, doc_id: int, lo: int, n: int, copies: bool, units: memoryview, size: int, lead: int, core: int, length: int) -> list[tuple]:
+    """The parts of a hull as rows of SEGMENTS; units: its units, of ``size`` bytes each; lead: units before its core."""
+    rows, places = [], length - core + 1
+    step = -(-places // SPLIT)
+    for o in range(0, places, step):
+        top = min(o + step, places) - 1  # windows with o to ``top`` units before the core
+        p, q = max(0, lead - top), min(n - 1, lead - o)
+        if p > q:
+            continue
+        wide = length - (top - o)
+        part = bytes(units[p * size : (q + length) * size])
+        shared = units[(lead - o) * size : (lead - o + wide) * size]
+        of = xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True) + o.to_bytes(4, "little") + bytes(shared))
+        digest = xxhash.xxh3_128_digest((lead - o - p).to_bytes(4, "little") + part)
+        rows.append((of - (1 << 63), doc_id, lo + p, q - p + 1, copies, part, digest, lead - o - p, wide))
+    return rows
+
+
 def _segments(batch: pa.RecordBatch, w: Windows) -> pa.RecordBatch:
-    """Hulls as rows with their units. A hull of a hot core becomes stretches of about the root of a hull's windows,
-    cut at fixed distances from the anchor: the digest of the stretch, and in ``parts`` that of each of its windows."""
+    """Hulls as rows with their units; hulls of a hot core in parts, with a digest."""
     rows = []
-    stretch = max(2, round(w.reach**0.5))
-    digest = xxhash.xxh3_128_digest
     for doc_id, text, hulls in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist()):
         units = w.units(text)
         data, size = memoryview(units.tobytes()), units.itemsize
-        of = lambda p, n: data[p * size : (p + n + w.length - 1) * size]
         place = dict(zip(*(x.tolist() for x in anchors(units, w)[1::-1]))) if any(h["hot"] for h in hulls) else {}
         for h in hulls:
             lo, n = h["lo"], h["n_windows"]
-            if not h["hot"]:
-                rows.append((h["key"], doc_id, lo, n, h["copies"], bytes(of(lo, n)), None))
-                continue
-            anchor, p = place[lo], lo
-            while p < lo + n:
-                # windows whose distance to the anchor falls in one multiple of ``stretch``
-                k = min(lo + n - p, (anchor - p) % stretch + 1)
-                rows.append((h["key"], doc_id, p, k, h["copies"], digest(of(p, k), (anchor - p) << 32 | k), [digest(of(q, 1)) for q in range(p, p + k)]))
-                p += k
-    cols = list(zip(*rows)) or [()] * 7
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.binary()))
-    names = ("key", "doc_id", "lo", "n_windows", "copies", "units", "parts")
-    return arrow_batch(**{n: pa.array(c, t) for n, c, t in zip(names, cols, types)})
+            of = data[lo * size : (lo + n + w.length - 1) * size]
+            if h["hot"]:
+                rows += _split(h["key"], doc_id, lo, n, h["copies"], of, size, place[lo] - lo, w.core, w.length)
+            else:
+                rows.append((h["key"], doc_id, lo, n, h["copies"], bytes(of), None, None, None))
+    return _segment_rows(rows)
+
+
+def _again(batch: pa.RecordBatch, w: Windows) -> pa.RecordBatch:
+    """Parts of a core that is still hot, in parts."""
+    size, rows = w.units(b"").itemsize, []
+    for key, doc_id, lo, n, copies, units, _, lead, core in zip(*(batch.column(i).to_pylist() for i in range(9))):
+        rows += _split(key, doc_id, lo, n, copies, memoryview(units), size, lead, core, w.length)
+    return _segment_rows(rows)
 
 
 def _blocks(it, settle, block_hulls: int):
@@ -168,7 +195,6 @@ def marks(docs: DataFrame, w: Windows, settle, name: str) -> DataFrame:
     unique, which is small in each partition, so the other side, texts among it, is neither sorted nor kept.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hull_of = ["key", "hull1", "hull2"]
     keys = docs.mapInArrow(batches(partial(_anchor_rows, w=w, whole=False)), KEYS)
     keys = saved(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), name)
@@ -193,28 +219,33 @@ def marks(docs: DataFrame, w: Windows, settle, name: str) -> DataFrame:
     edge = saved(edge.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(one).alias("hulls")), name)
     joined = docs.join(edge.hint("shuffle_hash"), "doc_id")
     segments = saved(joined.mapInArrow(batches(partial(_segments, w=w)), SEGMENTS), name)
-    cold = segments.where("parts is null").drop("parts").repartition(parts, "key").sortWithinPartitions("key", "doc_id", "lo")
-    out = plain.unionByName(saved(cold.mapInArrow(lambda it: _blocks(it, settle, BLOCK_HULLS), MARKS), name))
-    # hot cores: equal stretches are one class again; what is alone, and one of each class, goes on by single windows
-    hot = segments.where("parts is not null").select("units", "doc_id", "lo", "n_windows", "copies", "parts")
-    classes = _classes(hot, "units", name)
-    both = saved(hot.join(classes.hint("shuffle_hash"), "units", "left"), name)
-    alone, leads = F.col("first").isNull(), place == F.col("first")
-    again = both.where(~alone & ~leads) if w.keep_first else both.where(~alone)
-    single = both.where(alone | leads).select("doc_id", (~alone).alias("copies"), F.posexplode(F.arrays_zip("parts", F.sequence(F.col("lo"), F.col("lo") + F.col("n_windows") - 1).alias("at"))).alias("_", "x"))
-    single = saved(single.select(F.col("x.parts").alias("units"), "doc_id", F.col("x.at").alias("lo"), "copies"), name)
-    ends = single.join(_classes(single, "units", name).hint("shuffle_hash"), "units")
-    if w.keep_first:
-        ends = ends.where(place != F.col("first"))
-    ends = ends.select("doc_id", "lo", F.lit(1).cast("long").alias("n_windows"))
-    return out.unionByName(again.select("doc_id", "lo", "n_windows")).unionByName(ends)
-
-
-def _classes(rows: DataFrame, by: str, name: str) -> DataFrame:
-    """by, first: values that occur twice, or whose row stands for copies already, with the earliest place."""
+    cold, out, names = segments.where("digest is null"), [plain], segments.columns
+    parts = segments.where("digest is not null")
+    while not parts.isEmpty():
+        again, parts = _pass(parts, w, name)
+        out.append(again)
+        cold = cold.unionByName(parts.where("not hot").select(*names))
+        parts = saved(parts.where("hot").select(*names).mapInArrow(batches(partial(_again, w=w)), SEGMENTS), name)
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cold = cold.select(*names[:6]).repartition(n_parts, "key").sortWithinPartitions("key", "doc_id", "lo")
+    out.append(saved(cold.mapInArrow(lambda it: _blocks(it, settle, BLOCK_HULLS), MARKS), name))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _pass(parts: DataFrame, w: Windows, name: str) -> tuple[DataFrame, DataFrame]:
+    """A digit pass over parts of hot cores: (runs that are repeats, one part of each class whose core has several)."""
     place = F.struct("doc_id", "lo")
-    groups = rows.groupBy(by).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("copies").alias("_any"))
-    return saved(groups.where((F.col("first") < F.col("last")) | F.col("_any")).select(by, "first"), name)
+    rest = ["n_windows", "units", "lead", "core"]
+    groups = parts.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "lo", *rest)).alias("first"), F.max(place).alias("last"), F.max("copies").alias("copies"))
+    many = F.struct("first.doc_id", "first.lo") < F.col("last")
+    one = saved(groups.select("key", "digest", "first.*", (many | F.col("copies")).alias("copies"), many.alias("many")), name)
+    firsts = one.where("many").select("key", "digest", place.alias("first"))
+    again = parts.select("key", "digest", "doc_id", "lo", "n_windows").join(firsts.hint("shuffle_hash"), ["key", "digest"])
+    if w.keep_first:
+        again = again.where(place != F.col("first"))
+    several = one.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    left = one.drop("many").join(several.hint("shuffle_hash"), "key").withColumn("hot", F.col("n") > HOT_HULLS)
+    return again.select("doc_id", "lo", "n_windows"), saved(left, name)
 
 
 def with_marks(docs: DataFrame, marked: DataFrame, cut, schema: str, name: str) -> DataFrame:
