@@ -38,10 +38,7 @@ def equal_groups(digits: np.ndarray, start: np.ndarray, group: np.ndarray, lengt
     """
     row = np.lexsort((group,))
     group = group[row]
-    depths = list(range(0, length - 7, 8)) + ([length - 8] if length % 8 else [])
-    # digits at the ends first: those in the middle are mostly the common core
-    depths.sort(key=lambda d: -abs(d - length // 2))
-    for depth in [None, *depths]:
+    for depth in [None, *range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
         if depth is not None:
             if not len(row):
                 break
