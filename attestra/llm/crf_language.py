@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batch, batches, small_batches
 
-#: Labelled rows the field is fitted on at most: those of the least hashed ids.
-SAMPLE = 1200
-#: Words of a row that the fit uses at most, from evenly spread stretches; predictions use all words.
-STRETCHES, STRETCH = 8, 64
+#: Labelled rows the field is fitted on at most, with all their words: those of the least hashed ids among the rows whose
+#: text has at most ``SAMPLE_BYTES`` bytes.
+SAMPLE, SAMPLE_BYTES = 1200, 1 << 16
+#: Words of a sequence in the fit, which takes a text apart into such sequences.
+STRETCH = 64
 TABLE_BITS = 17
 STEPS, RATE, DECAY = 30, 0.15, 1e-4
 UNKNOWN = "und"
@@ -91,9 +92,12 @@ class Field:
         return out
 
 
-def posteriors(em: np.ndarray, sizes: np.ndarray, moves: np.ndarray, chunk: int = 64) -> np.ndarray:
+def posteriors(em: np.ndarray, sizes: np.ndarray, moves: np.ndarray, chunk: int = 64, pairs: bool = False):
     """Posterior of every word by forward-backward; em holds the sequences one after another (sizes above 0).
 
+    With ``pairs`` also the expected number of each move (from, to) over all neighbours: sums of their joint posteriors
+    forward * transition * emission * backward.
+
     A sequence is cut into chunks whose transfer matrices are multiplied first; vectors then pass from chunk to chunk
     and at last through all chunks at once. That is the same product, only bracketed otherwise.
     """
@@ -131,55 +135,72 @@ def posteriors(em: np.ndarray, sizes: np.ndarray, moves: np.ndarray, chunk: int
         step /= step.max(axis=1, keepdims=True)
         v = np.where(live[:, t, None], step, v)
         alpha[:, t] = v
-    v = back
+    v, expected = back, np.zeros((k, k))
     for t in range(chunk - 1, -1, -1):
+        here = grid[:, t] * v
+        if pairs:  # with the word before; a sequence's first word has none
+            on = live[:, t] & ((inner > 0) | (t > 0))
+            joint = (alpha[:, t - 1] if t else ahead)[on][:, :, None] * a * here[on][:, None, :]
+            expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         alpha[:, t] *= v
-        step = (grid[:, t] * v) @ a.T
+        step = here @ a.T
         step /= step.max(axis=1, keepdims=True)
         v = np.where(live[:, t, None], step, v)
     out = alpha[live]
-    return out / out.sum(axis=1, keepdims=True)
+    out /= out.sum(axis=1, keepdims=True)
+    return (out, expected) if pairs else out
+
 
+@dataclass
+class Sequences:
+    """Labelled sequences of words: a vocabulary and numbers in it."""
 
-def fit(rows: list[tuple[str, str]], seed: int = 1) -> Field:
-    """rows: (text, language). Every word of a row is taken to be of its language."""
+    languages: list[str]
+    vocabulary: list[bytes]
+    word: np.ndarray
+    sizes: np.ndarray
+    label: np.ndarray  # of each sequence
+
+    def __post_init__(self):
+        self.owner, self.slot = features(self.vocabulary)
+        self.y = np.repeat(self.label, self.sizes)
+
+    def gradient(self, field: Field) -> tuple[np.ndarray, np.ndarray]:
+        """Of the mean log-likelihood a word: by weights and by moves. Within a sequence the language stays."""
+        n, k = len(self.word), len(self.languages)
+        p, expected = posteriors(field.emissions(self.vocabulary)[self.word], self.sizes, field.moves, STRETCH, True)
+        off = -p
+        off[np.arange(n), self.y] += 1
+        by_word = np.stack([np.bincount(self.word, off[:, j], len(self.vocabulary)) for j in range(k)], axis=1)
+        weights = np.stack([np.bincount(self.slot, by_word[self.owner, j], 1 << TABLE_BITS) for j in range(k)], axis=1)
+        stays = np.bincount(self.label, self.sizes - 1, k)
+        # the first word's label has the sum of all moves into it as its weight, which is the same for all only where moves are
+        into = np.exp(field.moves - field.moves.max())
+        into /= into.sum(axis=0)
+        first = np.cumsum(self.sizes) - self.sizes
+        return weights / n, (np.diag(stays) - expected + into * off[first].sum(axis=0)) / n
+
+
+def sequences(rows: list[tuple[list[bytes], str]]) -> Sequences:
+    """rows: (words, language). Every word of a row is taken to be of its language; long rows are several sequences."""
     languages = sorted({lang for _, lang in rows})
     code = {x: k for k, x in enumerate(languages)}
-    seqs, labels = [], []
-    for text, lang in rows:
-        ws = words(text)
-        starts = range(0, len(ws), STRETCH) if len(ws) <= STRETCHES * STRETCH else np.linspace(0, len(ws) - STRETCH, STRETCHES).astype(int).tolist()
-        for s in starts:
-            seqs.append(ws[s : s + STRETCH])
-            labels.append(code[lang])
-    k = len(languages)
-    field = Field(languages, np.zeros((1 << TABLE_BITS, k)), np.zeros((k, k)))
-    if not seqs:
+    seqs = [(ws[s : s + STRETCH], code[lang]) for ws, lang in rows for s in range(0, len(ws), STRETCH)]
+    number: dict[bytes, int] = {}
+    word = np.fromiter((number.setdefault(w, len(number)) for ws, _ in seqs for w in ws), np.int64)
+    return Sequences(languages, list(number), word, np.array([len(ws) for ws, _ in seqs], np.int64), np.array([y for _, y in seqs], np.int64))
+
+
+def fit(rows: list[tuple[list[bytes], str]]) -> Field:
+    """rows: (words, language)."""
+    data = sequences(rows)
+    k = len(data.languages)
+    field = Field(data.languages, np.zeros((1 << TABLE_BITS, k)), np.zeros((k, k)))
+    if not len(data.word):
         return field
-    sizes = np.array([len(s) for s in seqs])
-    flat = [w for s in seqs for w in s]
-    vocabulary = list(dict.fromkeys(flat))
-    number = {w: i for i, w in enumerate(vocabulary)}
-    word = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-    fw, fs = features(vocabulary)
-    y = np.repeat(np.array(labels), sizes)
-    follows = np.ones(len(flat), bool)
-    follows[np.cumsum(sizes) - sizes] = False
-    seen = np.bincount(y[follows], minlength=k)  # within a row the language stays
     moment = [np.zeros_like(field.weights), np.zeros_like(field.weights), np.zeros((k, k)), np.zeros((k, k))]
     for step in range(1, STEPS + 1):
-        em = field.emissions(vocabulary)[word]
-        p = posteriors(em, sizes, field.moves)
-        off = -p
-        off[np.arange(len(y)), y] += 1
-        by_word = np.stack([np.bincount(word, off[:, j], len(vocabulary)) for j in range(k)], axis=1)
-        grad = np.stack([np.bincount(fs, by_word[fw, j], 1 << TABLE_BITS) for j in range(k)], axis=1) / len(flat)
-        # pair posteriors of neighbours, from their single ones and the transition
-        a = np.exp(field.moves - field.moves.max())
-        at = np.flatnonzero(follows)
-        joint = p[at - 1][:, :, None] * a * p[at][:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        move = (np.diag(seen) - joint.sum(axis=0)) / len(flat)
+        grad, move = data.gradient(field)
         for x, g, m, v in ((field.weights, grad - DECAY * field.weights / 100, moment[0], moment[1]), (field.moves, move - DECAY * field.moves, moment[2], moment[3])):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -237,10 +258,10 @@ def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """A field from at most ``sample`` rows with text and language that are not held out."""
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= SAMPLE_BYTES))
     ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     picked = rows.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text")
-    return fit([(r["text"], r["lang"]) for r in picked.limit(sample).collect()])
+    return fit([(words(r["text"]), r["lang"]) for r in picked.limit(sample).collect()])
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
