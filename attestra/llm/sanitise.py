@@ -7,8 +7,10 @@ Terms at or above ``GENERALISE`` are generalised in every document that holds th
 are removed; a term must have met the entity in at least ``SUPPORT`` different texts.
 
 Positions: a pattern cuts the text into pieces and matches in turn, so running sums of their lengths (in code points)
-are the matches' places. Patterns are possessive where that changes no match, and matches start at the head of a run
-or where the last match ended, so long runs cost linear time.
+are the matches' places. Running values are taken in blocks of about the root of the number of matches, and a text is
+cut at such places from stretches of ``STRETCH`` code points, so that neither grows with matches times text. Patterns
+are possessive where that changes no match, and matches start at the head of a run or where the last match ended, so
+long runs cost linear time. Terms are looked for in the text with its base spans blanked out, so that none touches one.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.99
 #: Letters a term has at least.
 TERM_LETTERS = 3
+#: Code points of a text that are cut from at once.
+STRETCH = 1024
 _SPAN = "struct<s:int,e:int,v:string>"
 _SPANS = f"array<{_SPAN}>"
 
@@ -35,18 +39,66 @@ def _none() -> Column:
     return F.expr("array()").cast(_SPANS)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body, and lambdas in it, use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(items: Column, zero: Column, kind: str, step) -> Column:
+    """array<kind> of what ``step(state, item)`` gives as (next state, value) along the items."""
+    none = F.expr("array()").cast(f"array<{kind}>")
+
+    def over_block(acc: Column, block: Column) -> Column:
+        def over_item(a: Column, x: Column) -> Column:
+            state, value = step(a["state"], x)
+            return F.struct(state.alias("state"), F.concat(a["values"], F.array(value)).alias("values"))
+
+        start = F.struct(acc["state"].alias("state"), none.alias("values"))
+        return F.aggregate(block, start, over_item, lambda a: F.struct(a["state"].alias("state"), F.concat(acc["blocks"], F.array(a["values"])).alias("blocks")))
+
+    def over_all(xs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.size(xs) - 1, width), lambda i: F.slice(xs, i + 1, width))
+        start = F.struct(zero.alias("state"), F.expr("array()").cast(f"array<array<{kind}>>").alias("blocks"))
+        return F.when(F.size(xs) > 0, F.flatten(F.aggregate(blocks, start, over_block, lambda a: a["blocks"]))).otherwise(none)
+
+    return _let(items, over_all)
+
+
 def located(text: Column, pattern: Column) -> Column:
     """array<struct<s, e, v>> of a pattern's matches: start and end in code points, and the match."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), _none().alias("out"))
+    sizes = F.transform(F.split(text, pattern, -1), F.length)
+    items = _let(sizes, lambda n: F.transform(found, lambda v, i: F.struct(F.get(n, i).alias("before"), v.alias("v"))))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        s = at + x["before"]
+        e = s + F.length(x["v"])
+        return e, F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"))
+
+    return _running(items, F.lit(0), _SPAN, step)
 
-    def step(acc: Column, v: Column) -> Column:
-        s = acc["at"] + F.length(F.get(pieces, acc["k"]))
-        e = s + F.length(v)
-        return F.struct(e.alias("at"), (acc["k"] + 1).alias("k"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), v.alias("v")))).alias("out"))
 
-    return F.aggregate(found, start, step, lambda acc: acc["out"])
+def _replaced(text: Column, cuts: Column, by) -> Column:
+    """The text with each cut (s, e, ...), in order of s, replaced by ``by(cut, at)``; ``at`` is where the text before the
+    cut ended. A cut that starts inside an earlier one only lengthens that."""
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        return F.greatest(at, x["e"]), F.struct(at.alias("lo"), F.greatest(at, x["s"]).alias("hi"), by(x, at).alias("by"))
+
+    def build(stretches: Column) -> Column:
+        def piece(lo: Column, hi: Column) -> Column:
+            def part(c: Column) -> Column:
+                first = F.greatest(lo - c * STRETCH, F.lit(0))
+                return F.substring(F.get(stretches, c), first + 1, F.least(hi - c * STRETCH, F.lit(STRETCH)) - first)
+
+            of = lambda x: F.floor(x / STRETCH).cast("int")
+            return F.when(lo < hi, F.array_join(F.transform(F.sequence(of(lo), of(hi - 1)), part), "")).otherwise(F.lit(""))
+
+        parts = F.transform(_running(cuts, F.lit(0), "struct<lo:int,hi:int,by:string>", step), lambda o: F.concat(piece(o["lo"], o["hi"]), o["by"]))
+        return F.concat(F.array_join(parts, ""), piece(F.array_max(F.transform(cuts, lambda x: x["e"])), F.length(text)))
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)), build)
 
 
 def _digits(v: Column) -> Column:
@@ -91,7 +143,10 @@ def base_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, a column of spans (s, e, v) for each kind, its entities, and the terms of texts that hold one."""
     rows = with_spans(_texts(docs))
 
-    entity = F.array_distinct(F.concat(*[F.transform(k, lambda x, k=k: F.concat(F.lit(f"{k}:"), F.lower(x["v"]))) for k in KINDS]))
+    def named(kind: str) -> Column:
+        return F.transform(kind, lambda x: F.concat(F.lit(f"{kind}:"), F.lower(x["v"])))
+
+    entity = F.array_distinct(F.concat(*map(named, KINDS)))
     rows = rows.select("doc_id", "text_hash", "text", *KINDS, entity.alias("entities"))
     return rows.withColumn("terms", F.when(F.size("entities") > 0, _terms(F.col("text")))).drop("text")
 
@@ -123,15 +178,18 @@ def disclosing(docs: DataFrame, base: DataFrame, support: int = SUPPORT, thresho
 
 
 def term_spans(docs: DataFrame, base: DataFrame, reveal: DataFrame) -> DataFrame:
-    """doc_id, text_hash, term: spans (s, e, v) of disclosing terms in documents that hold the entity, with ``removed``."""
-    holds = base.where(F.size("entities") > 0).select("doc_id", "text_hash", F.explode("entities").alias("entity")).distinct()
-    per_doc = holds.join(checked_broadcast(reveal, 100_000), "entity").groupBy("doc_id", "text_hash")
-    per_doc = saved(per_doc.agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("strong")), "doc-terms")
-    rows = _texts(docs).join(checked_broadcast(per_doc, 50_000), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    # terms are letters only, so they need no quoting
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.concat_ws("|", F.array_sort("terms")), F.lit(r")(?!\p{L})"))
-    spans = F.transform(located(F.col("text"), pattern), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.array_contains("strong", F.lower(x["v"])).alias("removed")))
-    return rows.select("doc_id", "text_hash", spans.alias("term"))
+    """doc_id, text_hash, term: spans (s, e, removed) of disclosing terms in documents that hold the entity."""
+    row = ["doc_id", "text_hash"]
+    holding = base.where(F.size("entities") > 0)
+    terms = holding.select(*row, F.explode("entities").alias("entity")).distinct().join(reveal, "entity")
+    terms = saved(terms.groupBy(*row, "term").agg((F.max("share") >= REMOVE).alias("removed")), "doc-terms")
+    spans = F.array_sort(F.transform(F.concat(*KINDS), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    spans = holding.join(terms.select(*row).distinct(), row, "left_semi").select(*row, spans.alias("spans")).dropDuplicates(row)
+    texts = _texts(docs).join(saved(spans, "doc-spans"), row).dropDuplicates(row)
+    blank = lambda x, at: F.repeat(F.lit("0"), F.greatest(x["e"] - F.greatest(at, x["s"]), F.lit(0)))
+    words = texts.select(*row, F.explode(located(_replaced(F.col("text"), F.col("spans"), blank), F.lit(r"\p{L}+"))).alias("w"))
+    found = words.withColumn("term", F.lower("w.v")).join(terms, [*row, "term"])
+    return found.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("w.s", "w.e", "removed"))).alias("term"))
 
 
 def find(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
@@ -146,11 +204,8 @@ def find(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE)
     empty = F.expr("array()").cast("array<struct<s:int,e:int,removed:boolean>>")
     if reveal.isEmpty():
         return out.withColumn("term", empty)
-    terms = saved(term_spans(docs, base, reveal), "term-spans")
-    out = out.join(checked_broadcast(terms, 50_000), ["doc_id", "text_hash"], "left")
-    every = F.concat(*KINDS)
-    clear = F.filter(F.coalesce("term", empty), lambda t: ~F.exists(every, lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
-    return out.select("doc_id", "text_hash", *KINDS, clear.alias("term"))
+    out = out.join(saved(term_spans(docs, base, reveal), "term-spans"), ["doc_id", "text_hash"], "left")
+    return out.select("doc_id", "text_hash", *KINDS, F.coalesce("term", empty).alias("term"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -185,15 +240,9 @@ def sanitise(docs: DataFrame, length: str = "n_chars") -> DataFrame:
     found = found.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.array_sort(cuts).alias(by)).where(F.size(by) > 0).dropDuplicates([id_, hash_])
     found = saved(found, "cuts")
     t = F.col("text").cast("string")
-
-    def step(acc: Column, x: Column) -> Column:
-        before = F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), x["by"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], before).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(by, start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    clean = _replaced(t, F.col(by), lambda x, at: F.when(x["s"] >= at, x["by"]).otherwise(F.lit("")))
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col(hash_))
-    out = docs.join(checked_broadcast(found, 50_000), same, "left")
+    out = docs.join(found, same, "left")  # broadcast by Spark if its file is small
     out = out.withColumn("text", F.when(F.col(by).isNotNull(), clean).otherwise(F.col("text")))
     if length in docs.columns:
         of_kind = docs.schema[length].dataType
