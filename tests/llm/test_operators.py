@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -73,6 +75,35 @@ def test_forward_backward_is_exact():
         assert np.allclose(got[s : s + n], want / want.sum(axis=1, keepdims=True))
 
 
+def test_gradient_is_that_of_the_enumerated_likelihood(monkeypatch):
+    monkeypatch.setattr(crf_language, "STRETCH", 4)
+    rng = np.random.default_rng(5)
+    rows = [([b"ab", b"cd", b"ab", b"ef", b"gh"], "x"), ([b"cd", b"gh"], "y"), ([b"ef"], "z"), ([b"ab", b"gh", b"gh"], "y")]
+    data = crf_language.sequences(rows)
+    assert data.sizes.tolist() == [4, 1, 2, 1, 3]
+    k = 3
+    field = crf_language.Field(data.languages, rng.normal(size=(1 << crf_language.TABLE_BITS, k)) * 0.2, rng.normal(size=(k, k)))
+
+    def likelihood():
+        em, out, at = field.emissions(data.vocabulary)[data.word], 0.0, 0
+        for n, label in zip(data.sizes, data.label):
+            score = lambda path: sum(em[at + i, y] for i, y in enumerate(path)) + sum(field.moves[a, b] for a, b in zip(path, path[1:])) + np.log(np.exp(field.moves[:, path[0]]).sum())  # noqa: E731, B023
+            out += score([label] * n) - np.log(sum(np.exp(score(path)) for path in np.ndindex(*[k] * n)))
+            at += n
+        return out / len(data.word)
+
+    weights, moves = data.gradient(field)
+    for x, grad, places in ((field.moves, moves, np.ndindex(k, k)), (field.weights, weights, [(int(s), j) for s in data.slot[:5] for j in range(k)])):
+        for place in places:
+            kept = x[place]
+            x[place] = kept + 1e-5
+            up = likelihood()
+            x[place] = kept - 1e-5
+            down = likelihood()
+            x[place] = kept
+            assert abs((up - down) / 2e-5 - grad[place]) < 1e-6
+
+
 def test_code_switched_text_has_runs(spark, field, sf_dir):
     d = {r["lang"]: r["text"] for r in table(spark, sf_dir, "documents").where("length(text) > 600").collect()}
     mixed = " ".join(d["en"].split()[:40] + d["de"].split()[:40])
@@ -141,10 +172,39 @@ def test_disclosing_terms_go_from_anywhere_in_the_text(spark):
     assert all(clean[i][0] == t.replace("Zorblatt", "").replace("Quuxley", "").replace("q.z@mail.org", "[email]") for i, t in rows)
 
 
+def test_shares_are_those_of_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("bdgklmn") + rng.choice("aeiou") for _ in range(3)) for _ in range(25)]
+    mails = ["a@b.org", "c@d.org", "e@f.org"]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(12)) + "".join(f" {m}" for m in mails if rng.random() < 0.2)) for i in range(80)]
+    rows += [(80 + k, rows[k][1]) for k in range(10)]
+    df = frame(spark, rows, False)
+    got = {(r["entity"], r["term"]): r["share"] for r in sanitise.disclosing(df, sanitise.base_spans(df), support=2, threshold=-9.0).collect()}
+    words = {i: {w for w in re.split(r"[^a-z]+", t) if len(w) >= sanitise.TERM_LETTERS} for i, t in rows}
+    want = {}
+    for m in mails:
+        holds = [i for i, t in rows if m in t]
+        for w in set().union(*(words[i] for i in holds)):
+            both = [i for i in holds if w in words[i]]
+            if len({rows[i][1] for i in both}) >= 2:
+                n_term = sum(w in words[i] for i, _ in rows)
+                want["email:" + m, w] = np.log2(len(rows) * len(both) / (n_term * len(holds))) / np.log2(len(rows) / len(holds))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_many_spans_in_one_text_take_linear_time(spark):
+    text = "".join(f"é{k}x@mail{k % 7}.org 日本 {k} " for k in range(8000))
+    rows = [(i, text + str(i)) for i in range(3)] + [(i, "other words") for i in range(3, 40)]
+    began = time.monotonic()
+    got = by_id(sanitise.sanitise(frame(spark, rows, False)), "text")
+    assert time.monotonic() - began < 60
+    assert all(got[i][0].count("[email]") == 8000 and "@" not in got[i][0] for i in range(3)) and got[5][0] == "other words"
+
+
 # 4 and 8: repeats
 
 
-@pytest.mark.parametrize("hot", [512, 1])
+@pytest.mark.parametrize("hot", [512, 2, 1])
 def test_repeated_bytes(docs, empty, table, hot, monkeypatch):
     monkeypatch.setattr(window_passes, "HOT_HULLS", hot)
     assert by_id(radix_suffixes.remove_repeats(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(table)
@@ -152,7 +212,7 @@ def test_repeated_bytes(docs, empty, table, hot, monkeypatch):
         assert radix_suffixes.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [512, 1])
+@pytest.mark.parametrize("hot", [512, 2, 1])
 def test_repeated_words(docs, empty, table, hot, monkeypatch):
     monkeypatch.setattr(window_passes, "HOT_HULLS", hot)
     assert by_id(fm_index.remove_repeats(docs), "n_words", "n_removed", "kept_sha256") == brute.repeated_words(table)
@@ -207,7 +267,7 @@ def test_pieces_encode_like_the_library(name, table):
     rows = list(enumerate([t for _, t in table if t] + odd))
     e = PieceEncoder(public_file(name), pieces=50)
     for _ in range(2):  # from an empty table, and from a full one
-        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode([t for _, t in rows])] == [x[:-1] for x in ids_of(e, rows, 0).values()]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode([t.encode() for _, t in rows])] == [x[:-1] for x in ids_of(e, rows, 0).values()]
 
 
 def test_packing(docs, empty, table):
