@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.likelihood import cost, softplus
-from .ordered import cumulative
+from ..functions.likelihood import LN10, cost, softplus
+from ..sources.tables import stored
+from .ordered import cumulative, in_ranges
 
 MIN_PER_CLASS = 30
 
@@ -73,16 +74,32 @@ def pool(n_same: np.ndarray, n_all: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(np.arange(len(size)), size), np.array(value)
 
 
-def pav(hist: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """hist with block and fitted for each group of ``by``; a task holds one group's distinct scores."""
-    schema = hist.select(*by, "score", "n_same", "n_different").schema.simpleString()[7:-1].replace(":", " ") + ", block int, fitted double"
+def _pooled(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """rows with ``name``: the number of their block among the rows of one group of ``by``, in score order."""
+    schema = rows.schema.simpleString()[7:-1].replace(":", " ") + f", {name} int"
 
     def fit(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("score", ignore_index=True)
-        block, value = pool(p["n_same"].to_numpy(float), (p["n_same"] + p["n_different"]).to_numpy(float))
-        return p.assign(block=block.astype("int32"), fitted=value[block])
+        block, _ = pool(p["n_same"].to_numpy(float), (p["n_same"] + p["n_different"]).to_numpy(float))
+        return p.assign(**{name: block.astype("int32")})
 
-    return hist.select(*by, "score", "n_same", "n_different").groupBy(*by).applyInPandas(fit, schema)
+    return rows.groupBy(*by).applyInPandas(fit, schema)
+
+
+def pav(hist: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """hist with block and fitted, for each group of ``by``.
+
+    Scores are pooled inside ranges, then the ranges' blocks (one row each) across them: pooling what is pooled already
+    gives the same fit. A task holds a range's distinct scores, or the blocks of a group.
+    """
+    ranged = stored(_pooled(in_ranges(hist.select(*by, "score", "n_same", "n_different"), "score"), [*by, "_range"], "_local"), "pooled")
+    key = [*by, "_range", "_local"]
+    blocks = ranged.groupBy(*key).agg(F.min("score").alias("score"), F.sum("n_same").alias("n_same"), F.sum("n_different").alias("n_different"))
+    blocks = stored(_pooled(blocks, list(by), "block"), "blocks")
+    share = F.sum("n_same") / F.sum(F.col("n_same") + F.col("n_different"))
+    values = blocks.groupBy(*by, "block").agg(share.alias("fitted"))
+    numbers = blocks.select(*key, "block").join(values, [*by, "block"])
+    return ranged.join(numbers, key).drop("_range", "_local")
 
 
 def pav_log_lr(fitted: Column, same: Column, different: Column) -> Column:
@@ -90,10 +107,10 @@ def pav_log_lr(fitted: Column, same: Column, different: Column) -> Column:
     return F.when(fitted <= 0, F.lit(-math.inf)).when(fitted >= 1, F.lit(math.inf)).otherwise(F.log(fitted) - F.log1p(-fitted) - F.log(same / different))
 
 
-def cllr_min(fitted: DataFrame, by: tuple[str, ...]) -> DataFrame:
+def cllr_min(fitted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """C_llr after the optimal monotone calibration."""
     t = totals(fitted, by)
-    rows = fitted.join(F.broadcast(t), list(by))
+    rows = fitted.join(F.broadcast(t), list(by)) if by else fitted.crossJoin(F.broadcast(t))  # a row for each group
     x = pav_log_lr(F.col("fitted"), F.col("same"), F.col("different"))
     finite = F.abs(x) != math.inf
     # a pure block costs its own class nothing and holds no trial of the other
@@ -112,13 +129,39 @@ def with_devils(hist: DataFrame) -> DataFrame:
 
 def elub(hist: DataFrame) -> DataFrame:
     """One row lower_log_lr, upper_log_lr: extreme finite block values of the refitted calibration."""
-    fitted = pav(with_devils(hist).withColumn("all_", F.lit(1)), ("all_",))
+    fitted = pav(with_devils(hist))
     t = totals(fitted)
     x = pav_log_lr(F.col("fitted"), F.col("same"), F.col("different"))
     rows = fitted.crossJoin(F.broadcast(t)).select(F.when(F.abs(x) != math.inf, x).alias("x"))
     return rows.agg(F.min("x").alias("lower_log_lr"), F.max("x").alias("upper_log_lr"))
 
 
+#: What a C_llr says of a system; at 1 it says nothing, above 1 it misleads.
+MARGINAL_ABOVE = 0.9
+
+
+def grade(c: Column) -> Column:
+    near_one = F.abs(c - 1) <= 1e-9 * F.greatest(F.abs(c), F.lit(1.0))
+    return F.when(near_one, "uninformative").when(c > 1, "misleading").when(c > MARGINAL_ABOVE, "marginal").otherwise("informative")
+
+
+def evaluation(rows: DataFrame) -> DataFrame:
+    """One row for reported natural log LRs (score, label): cllr, cllr_min (never above cllr), calibration_loss, eer,
+    lower_log10, upper_log10 (bounds), n_same, n_different, grade."""
+    hist = stored(histogram(rows), "histogram")
+    c = cllr(rows).crossJoin(cllr_min(pav(hist))).crossJoin(eer(hist)).crossJoin(elub(hist))  # one row each
+    least = F.least("cllr_min", "cllr")
+    bounds = [(F.col(f"{k}_log_lr") / LN10).alias(f"{k}_log10") for k in ("lower", "upper")]
+    return c.select("cllr", least.alias("cllr_min"), (F.col("cllr") - least).alias("calibration_loss"), "eer", *bounds, "n_same", "n_different", grade(F.col("cllr")).alias("grade"))
+
+
+def clipping(rows: DataFrame, lower: Column, upper: Column) -> DataFrame:
+    """One row clipped, clipped_same, clipped_different: shares of log LRs (score, label) that bounds change."""
+    out = ((F.col("score") < lower) | (F.col("score") > upper)).cast("double")
+    of = lambda k: F.coalesce(F.avg(F.when(F.col("label") == k, out)), F.lit(0.0))
+    return rows.agg(F.avg(out).alias("clipped"), of(1).alias("clipped_same"), of(0).alias("clipped_different"))
+
+
 def tippett(hist: DataFrame) -> DataFrame:
     """score, same_above, different_below: shares of same-source trials at or above a score, of different-source at or below."""
     rows = cumulative(hist, "score", {"n_same": "s", "n_different": "d"}).crossJoin(F.broadcast(totals(hist)))

@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
+def in_ranges(rows: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
+    """rows with _range: the number of their range of ``order``. Boundaries are approximate quantiles."""
+    edges = sorted(set(rows.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.01)))
+    return rows.withColumn("_range", F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(order))) if edges else F.lit(0))
+
+
 def cumulative(rows: DataFrame, order: str, columns: dict[str, str], ranges: int = RANGES) -> DataFrame:
     """rows (one for each value of ``order``) with, for column -> name, name: the sum over all rows before.
 
-    Boundaries are approximate quantiles, which the result doesn't depend on.
+    The result doesn't depend on the ranges' boundaries.
     """
-    edges = sorted(set(rows.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.01)))
-    at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(order))) if edges else F.lit(0)
-    placed = rows.withColumn("_range", at)
+    placed = in_ranges(rows, order, ranges)
     sums = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for c, n in columns.items()])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in columns.values()])

@@ -44,11 +44,14 @@ def _mass(concentration: float) -> float:
 def multinomial(name: str, concentration: float) -> Column:
     """Dirichlet-multinomial log LR of p's and q's counts: only shared categories and the totals count."""
     mp, mq, np_, nq, rp, rq = (F.col(f"{s}.{name}{c}") for c in ("", "_n", "_own") for s in ("p", "q"))
-    # look each category up once, then sum over the found entries
-    shared = F.transform(F.array_intersect(F.map_keys(mp), F.map_keys(mq)), lambda k: F.struct(mp[k].alias("x"), mq[k]["n"].alias("n"), mq[k]["own"].alias("own")))
-    shared = F.transform(shared, lambda t: F.struct((t["x"]["alpha"] + t["x"]["n"] + t["n"]).alias("end"), (t["x"]["start"] + t["x"]["own"] + t["own"]).alias("less")))
-    gain = lambda s, t: s + lgamma(t["end"]) - t["less"]
-    total = F.aggregate(shared, F.lit(0.0), gain) - rising(F.lit(_mass(concentration)), np_ + nq) + rp + rq
+
+
+    def gain(k: Column, x: Column, y: Column) -> Column:
+        both = lgamma(x["alpha"] + x["n"] + y["n"]) - (x["start"] + x["own"] + y["own"])
+        return F.when(x.isNotNull() & y.isNotNull(), both).otherwise(F.lit(0.0))
+
+    # the maps meet by hashing their keys, so a pair costs the sum of its categories
+    total = F.aggregate(F.map_values(F.map_zip_with(mp, mq, gain)), F.lit(0.0), lambda s, v: s + v) - rising(F.lit(_mass(concentration)), np_ + nq) + rp + rq
     return F.when(mp.isNotNull() & mq.isNotNull(), total)
 
 

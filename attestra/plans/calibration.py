@@ -39,9 +39,9 @@ t AS (SELECT *, least(x, y) || '|' || greatest(x, y) AS pair, CASE WHEN sp = sq
 _COST = "CASE WHEN label = 1 THEN greatest(-s, 0.0) + ln(1 + exp(-abs(s))) ELSE greatest(s, 0.0) + ln(1 + exp(-abs(s))) END / ln(2)"
 
 
-def _cllr_sql(by: str, source: str) -> str:
+def _cllr_sql(by: str, source: str, digits: int = 6) -> str:
     keys = f"{by}, " if by else ""
-    return f"""SELECT {keys}round(0.5 * (avg({_COST}) FILTER (label = 1) + avg({_COST}) FILTER (label = 0)), 6) AS cllr, count(*) FILTER (label = 1) AS n_same, count(*) FILTER (label = 0) AS n_different FROM {source}""" + (f" GROUP BY {by}" if by else "")
+    return f"""SELECT {keys}round(0.5 * (avg({_COST}) FILTER (label = 1) + avg({_COST}) FILTER (label = 0)), {digits}) AS cllr, count(*) FILTER (label = 1) AS n_same, count(*) FILTER (label = 0) AS n_different FROM {source}""" + (f" GROUP BY {by}" if by else "")
 
 
 @query(f"WITH {_ALL} SELECT a, b, pair, round(score, 6) AS score, label, owner FROM t")
@@ -115,7 +115,7 @@ def _pav_sql(hist: str, out: str) -> str:
 
 
 def _pav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.pav(metrics.histogram(score_file(spark, sf_dir)).withColumn("all_", F.lit(1)), ("all_",))
+    return metrics.pav(metrics.histogram(score_file(spark, sf_dir)))
 
 
 @query(f"WITH {_FILE}, {_HIST}, {_pav_sql('h', 'p')} SELECT round(fitted, 8) AS fitted, min(score) AS low, max(score) AS high, CAST(sum(n_same) AS BIGINT) AS n_same, CAST(sum(n_different) AS BIGINT) AS n_different FROM p GROUP BY 1")
@@ -130,7 +130,7 @@ _LR = "CASE WHEN fitted <= 0 THEN NULL WHEN fitted >= 1 THEN NULL ELSE ln(fitted
 @query(f"""WITH {_FILE}, {_HIST}, {_pav_sql('h', 'p')}, x AS (SELECT *, {_LR.format('h')} AS x FROM p)
 SELECT round(0.5 * (sum(n_same * coalesce(greatest(-x, 0.0) + ln(1 + exp(-abs(x))), 0)) / sum(n_same) + sum(n_different * coalesce(greatest(x, 0.0) + ln(1 + exp(-abs(x))), 0)) / sum(n_different)) / ln(2), 6) AS cllr_min FROM x""")
 def cllr_min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.cllr_min(_pav(spark, sf_dir), ("all_",)).select(_r("cllr_min").alias("cllr_min"))
+    return metrics.cllr_min(_pav(spark, sf_dir)).select(_r("cllr_min").alias("cllr_min"))
 
 
 _DEVILS = """g AS (SELECT * FROM h UNION ALL SELECT max(score) + greatest(max(score) - min(score), 1.0), 0, 1 FROM h UNION ALL SELECT min(score) - greatest(max(score) - min(score), 1.0), 1, 0 FROM h)"""
@@ -142,6 +142,32 @@ def elub_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.elub(metrics.histogram(score_file(spark, sf_dir))).select(_r("lower_log_lr").alias("lower_log_lr"), _r("upper_log_lr").alias("upper_log_lr"))
 
 
+_SHARE = "coalesce(avg(CAST(s < lo OR s > hi AS INT)){0}, 0)"
+
+
+@query(f"""WITH {_FILE}, {_HIST}, {_DEVILS}, {_pav_sql('h', 'p')}, {_pav_sql('g', 'q')}, c AS ({_cllr_sql("", "(SELECT *, score - 7 AS s FROM f)", 12)}), e AS (WITH {_EER}), x AS (SELECT *, {_LR.format('h')} AS x FROM p),
+m2 AS (SELECT 0.5 * (sum(n_same * coalesce(greatest(-x, 0.0) + ln(1 + exp(-abs(x))), 0)) / sum(n_same) + sum(n_different * coalesce(greatest(x, 0.0) + ln(1 + exp(-abs(x))), 0)) / sum(n_different)) / ln(2) AS least_cost FROM x),
+b AS (SELECT min(x) / ln(10) AS lo, max(x) / ln(10) AS hi FROM (SELECT {_LR.format('g')} AS x FROM q))
+SELECT round(cllr, 6) AS cllr, round(least(least_cost, cllr), 6) AS cllr_min, round(cllr - least(least_cost, cllr), 6) AS calibration_loss, eer, round(lo, 6) AS lower_log10, round(hi, 6) AS upper_log10, n_same, n_different,
+CASE WHEN abs(cllr - 1) <= 1e-9 THEN 'uninformative' WHEN cllr > 1 THEN 'misleading' WHEN cllr > 0.9 THEN 'marginal' ELSE 'informative' END AS grade FROM c, e, m2, b""")
+def evaluation_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is reported of one score file, read as log LRs around 7."""
+    out = metrics.evaluation(score_file(spark, sf_dir).withColumn("score", F.col("score") - 7))
+    return out.select(*[_r(c).alias(c) for c in ("cllr", "cllr_min", "calibration_loss", "eer", "lower_log10", "upper_log10")], "n_same", "n_different", "grade")
+
+
+@query(f"""WITH {_ELUB}, s AS (SELECT 1.5 * (score - 6) AS s, label FROM f) SELECT round({_SHARE.format("")}, 8) AS clipped, round({_SHARE.format(" FILTER (label = 1)")}, 8) AS clipped_same,
+round({_SHARE.format(" FILTER (label = 0)")}, 8) AS clipped_different, round(any_value(lo) / ln(10), 6) AS lower_log10, round(any_value(hi) / ln(10), 6) AS upper_log10 FROM s, bounds""")
+def clipped_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of a report is its bounds rather than its calibration, by class."""
+    rows = score_file(spark, sf_dir)
+    bounds = stored(metrics.elub(metrics.histogram(rows)), "bounds")
+    scored = rows.select((1.5 * (F.col("score") - 6)).alias("score"), "label").crossJoin(F.broadcast(bounds))  # one row
+    shares = metrics.clipping(scored, F.col("lower_log_lr"), F.col("upper_log_lr")).crossJoin(F.broadcast(bounds))
+    ends = [_r(F.col(f"{k}_log_lr") / LN10).alias(f"{k}_log10") for k in ("lower", "upper")]
+    return shares.select(*[_r(c, 8).alias(c) for c in ("clipped", "clipped_same", "clipped_different")], *ends)
+
+
 @query(f"""WITH {_ELUB}, s AS (SELECT doc_id, 1.5 * (score - 6) AS raw FROM f) SELECT doc_id, round(least(greatest(raw, lo), hi), 6) AS log_lr, (raw < lo OR raw > hi) AS was_bounded,
 round(abs(raw - least(greatest(raw, lo), hi)) / ln(10), 6) AS removed_log10 FROM s, bounds""")
 def logistic_apply_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
