@@ -34,3 +34,26 @@ def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours that the watermark has closed once all events are in."""
     out = _finished(spark, s.hourly(_stream(spark, sf_dir)), "append")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH o AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o), g AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k)
+SELECT user_id, start, "end", n FROM g WHERE "end" <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that the watermark has closed once all events are in."""
+    out = _finished(spark, s.sessions(_stream(spark, sf_dir)), "append")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("SELECT DISTINCT event_id, user_id, event_type FROM events")
+def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _finished(spark, s.deduplicated(_stream(spark, sf_dir)).select("event_id", "user_id", "event_type"), "append")
+
+
+@query("""WITH o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, value > 90 AS high FROM events),
+h AS (SELECT user_id, k, max(CASE WHEN high THEN k END) OVER (PARTITION BY user_id ORDER BY k) AS last FROM o)
+SELECT user_id, count(*) AS n_events, count(*) FILTER (last IS NOT NULL AND k - last <= 3) AS n_held FROM h GROUP BY 1""")
+def stream_held_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events held active for three events after one above 90; the last state of each user."""
+    out = _finished(spark, s.held_activity(_stream(spark, sf_dir), 90.0, 3), "update")
+    return out.groupBy("user_id").agg(F.max_by("n_events", "_batch").alias("n_events"), F.max_by("n_held", "_batch").alias("n_held"))

@@ -8,8 +8,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.governance import verify_chain
@@ -54,14 +56,36 @@ def held_activity(events: DataFrame, above: float, reach: int, late: str = "2 ho
     )
 
 
-def checked_audit(log: DataFrame, genesis: str, out: str):
-    """A streaming query that writes the verdict of each arriving stretch of an audit log (its own first entry trusted)."""
+def checked_audit(log: DataFrame, genesis: str, out: str) -> DataStreamWriter:
+    """A streaming query that writes the verdict of each arriving stretch of an audit log: verify_chain's columns, batch,
+    first and last sequence and the last hash.
+
+    Stretches arrive in order of sequence. A stretch follows the last hash of the stretch before it, which is read from
+    what was written, so a restarted query goes on where it stopped; a stretch that does not start right after the one
+    before is broken at its first entry. Only the first stretch of all follows ``genesis``, if it starts at 1; if it starts
+    later its own first entry is trusted.
+    """
 
     def check(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        first = batch.agg(F.min("sequence")).first()[0]
-        verdict = verify_chain(batch.where(F.col("sequence") >= first), genesis)
-        verdict.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        batch = batch.persist()
+        ends = batch.agg(F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.max_by("entry_hash", "sequence").alias("last_hash")).first()
+        spark, before = batch.sparkSession, None
+        try:
+            before = spark.read.parquet(out).where(F.col("batch") < number).orderBy(F.desc("batch")).first()
+        except AnalysisException:  # nothing is written yet
+            pass
+        if before is not None:
+            follows = before["last_hash"] if ends["first"] == before["last"] + 1 else "missing"
+            verdict = verify_chain(batch, follows, ends["first"])
+        elif ends["first"] == 1:
+            verdict = verify_chain(batch, genesis)
+        else:
+            head = batch.where(F.col("sequence") == ends["first"]).first()["entry_hash"]
+            verdict = verify_chain(batch.where(F.col("sequence") > ends["first"]), head, ends["first"] + 1).withColumn("n_entries", F.col("n_entries") + 1)
+        keys = {"batch": number, "first": ends["first"], "last": ends["last"], "last_hash": ends["last_hash"]}
+        verdict.withColumns({k: F.lit(v) for k, v in keys.items()}).write.mode("append").parquet(out)
+        batch.unpersist()
 
     return log.writeStream.foreachBatch(check)

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from attestra.functions import likelihood as lk
 from attestra.functions import text as t
 from attestra.operators import fusion, governance, graph, metrics, pairs, profiles, resample, sampling, sequence
+from attestra.streaming import events
 
 
 def one(spark, column, **values):
@@ -171,3 +173,22 @@ def test_sliding_is_plain_normalisation_with_edges_repeated(spark):
 def test_background_of_nothing(spark):
     empty = spark.createDataFrame([], "entity long, category string, n long")
     assert profiles.background(empty).count() == 0
+
+
+@pytest.mark.parametrize("start", [1, 3])
+def test_streamed_audit_carries_the_last_hash(spark, tmp_path, start):
+    log = governance.chained(spark, [f"entry {k}" for k in range(12)], "g").where(f"sequence >= {start}")
+    (tmp_path / "in").mkdir()
+    cuts = [(start, 5), (6, 6), (7, 9), (10, 12)]
+
+    def run(last_body: str | None = None):
+        for k, (a, b) in enumerate(cuts):
+            part = log.where(f"sequence between {a} and {b}")
+            if last_body is not None and b == 12:
+                part = part.withColumn("body", F.when(F.col("sequence") == 11, last_body).otherwise(F.col("body")))
+            part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
+            events.checked_audit(stream, "g", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        return [(r["is_intact"], r["n_entries"], r["first_broken"]) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("batch").collect()]
+
+    assert run("forged") == [(True, 6 - start, None), (True, 1, None), (True, 3, None), (False, 1, 11)]
