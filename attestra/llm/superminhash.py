@@ -2,7 +2,8 @@
 
 Documents with one and the same shingle set are one class from the start. Classes that share a band form candidate
 clusters; a cluster is compared inside blocks of bounded size, and a large one block against block, so that no task
-holds more than two blocks. A class pair that shares a band is compared on its full sets; links that do not connect
+holds more than two blocks. A large cluster that is only chained together, class by class, is compared band by band
+instead wherever that moves fewer texts; both ways compare all pairs that share a band. A class pair that shares a band is compared on its full sets; links that do not connect
 anything new need not be looked at, so that only a spanning forest leaves a task. Components follow by repeated
 contraction (``common.components``), over all links of all blocks.
 """
@@ -190,6 +191,23 @@ def _verify(it, size: int, percent: int):
         yield flush()
 
 
+def _places(member: DataFrame, block: int) -> DataFrame:
+    """node, bands, places: where each class is compared, as (of, blocks, block) of its cluster or of each of its bands."""
+    whole = member.groupBy("root").agg(F.count("*").alias("n"))
+    copies = lambda n: F.col(n) * F.ceil(F.col(n) / block)
+    # texts moved by the bands of clusters of more than one block
+    large = saved(whole.where(F.col("n") > block), "large")
+    in_band = member.join(large, "root").select("node", "root", "n", F.explode("bands").alias("band"))
+    band = saved(in_band.groupBy("root", "band").agg(F.count("*").alias("m"), F.first("n").alias("n")).where("m > 1"), "bands")
+    chained = saved(band.groupBy("root").agg(F.sum(copies("m")).alias("moved"), F.first("n").alias("n")).where(F.col("moved") < copies("n")).select("root"), "chained")
+    block_of = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    clusters = member.join(chained, "root", "left_anti").join(whole, "root").select("node", F.col("root").cast("string").alias("of"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    apart = in_band.join(chained, "root", "left_semi").join(band.select("root", "band", "m"), ["root", "band"])
+    apart = apart.select("node", F.concat_ws(":", "root", "band").alias("of"), F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    at = clusters.unionByName(apart).select("node", F.struct("of", "blocks", block_of).alias("at"))
+    return member.select("node", "bands").join(at.groupBy("node").agg(F.collect_list("at").alias("places")), "node")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
@@ -206,15 +224,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, n_b
     in_band = classes.select("rep", F.explode("bands").alias("band"))
     lead = in_band.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
     near = components(in_band.join(lead, "band").select(F.col("rep").alias("a"), F.col("lead").alias("b")), "candidates")
-    # clusters of candidates, in blocks
-    counts = near.groupBy("root").agg(F.count("*").alias("n"))
-    member = near.join(counts, "root").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = saved(member.join(classes.withColumnRenamed("rep", "node"), "node").select("node", "root", "blocks", "block", "bands"), "members")
-    text = docs.withColumnRenamed("doc_id", "node").join(checked_broadcast(member, 50_000), "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    text = text.select("node", "text", "bands", "root", "block", other)
-    group = F.concat_ws(":", "root", F.least("block", "other"), F.greatest("block", "other")).alias("group")
+    # clusters of candidates, or their bands, in blocks
+    member = saved(near.join(classes.withColumnRenamed("rep", "node"), "node").select("node", "root", "bands"), "members")
+    # ids are few bytes each and go to the tasks up to a bound, so that other documents' texts are not moved
+    text = docs.withColumnRenamed("doc_id", "node").join(checked_broadcast(member.select("node")), "node", "left_semi")
+    text = text.join(saved(_places(member, block), "places").hint("shuffle_hash"), "node")
+    text = text.select("node", "text", "bands", F.explode("places").alias("at")).select("node", "text", "bands", "at.*")
+    text = text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.concat_ws(":", "of", F.least("block", "other"), F.greatest("block", "other")).alias("group")
     text = text.select(group, "node", "block", "bands", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text.repartition(parts, "group").sortWithinPartitions("group")
