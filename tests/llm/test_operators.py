@@ -346,6 +346,20 @@ def test_near_duplicates_over_small_blocks(spark):
     assert got == brute.near_duplicates(rows)
 
 
+def test_chained_clusters_are_compared_by_bands(spark):
+    words = [f"w{k}" for k in range(400)]
+    # each text is like its neighbours only
+    rows = [(k, " ".join(words[3 * k : 3 * k + 100])) for k in range(40)]
+    df = frame(spark, rows)
+    got = by_id(superminhash.near_duplicates(df, block=4), "n_shingles", "component_id")
+    assert got == brute.near_duplicates(rows) and len({c for _, c in got.values()}) < 5
+    member = spark.createDataFrame([(k, 0, [k // 2, 100 + (k + 1) // 2]) for k in range(40)], "node long, root long, bands array<long>")
+    places = superminhash._places(member, 4).collect()
+    assert len(places) == 40 and all(p["blocks"] == 1 for r in places for p in r["places"]) and sum(len(r["places"]) for r in places) < 80
+    one = spark.createDataFrame([(k, 0, [7, 8]) for k in range(40)], "node long, root long, bands array<long>")
+    assert all([p["of"] for p in r["places"]] == ["0"] for r in superminhash._places(one, 4).collect())
+
+
 def test_signature_agreement_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 900).astype(np.uint64)
