@@ -6,6 +6,7 @@ import corpus_pipeline
 from attestra.llm.common import table
 
 from . import brute
+from .conftest import frame
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -39,3 +40,22 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_run_gives_the_stages_rows(spark, sf_dir):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_stages_with_odd_rows(spark, sf_dir):
+    stages = dict(corpus_pipeline.STAGES)
+    item = next(r["text"] for r in table(spark, sf_dir, "benchmark").collect() if len(r["text"].split()) >= 20)
+    plain = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    rows = [(1, plain), (2, plain), (2, plain), (None, plain), (3, item), (None, item), (4, None), (None, None), (5, ""), (6, " \n "), (7, "write to a@b.org or a@b.org"), (7, "write to a@b.org or a@b.org"), (None, "c@d.org")]
+    docs = frame(spark, rows)
+    kept = lambda df: sorted(((r["doc_id"] or 0, r["text"]) for r in df.collect()), key=str)
+    want = lambda test: sorted(((i or 0, t) for i, t in rows if test(i, t)), key=str)
+    assert kept(stages["near_dedup"](spark, docs, sf_dir)) == want(lambda i, t: i != 2)
+    assert kept(stages["decontaminate"](spark, docs, sf_dir)) == want(lambda i, t: i != 3)
+    clean = stages["pii"](spark, docs, sf_dir)
+    assert kept(clean) == sorted(((i or 0, t and t.replace("a@b.org", "[email]").replace("c@d.org", "[email]")) for i, t in rows), key=str)
+    assert {r["node"] for r in clean.collect()} == {"clash"}
+    packed = stages["pack"](spark, docs, sf_dir).collect()
+    assert len(packed) == len(rows) and sum(r["doc_id"] is None for r in packed) == 4
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
