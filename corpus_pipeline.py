@@ -25,27 +25,41 @@ def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go."""
+    """Documents without an identifiable language go: null texts and texts without a letter among them, row by row."""
     return crf_language.keep_identified(docs, LEAST_POSTERIOR)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays. Rows that share a doc_id are one document."""
+    """Of each group of near-duplicates the smallest doc_id stays.
+
+    Rows that share a doc_id are one document and stay or go together; rows without an id are in no group and stay, as do
+    null, empty and wordless texts.
+    """
     return _without(docs, superminhash.near_duplicates(docs, percent=SIMILARITY).where(~F.col("kept")), "near")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more lies in benchmark windows go."""
+    """Documents of which a twentieth or more lies in benchmark windows go.
+
+    Rows that share a doc_id go if one of them is contaminated. Rows without an id cannot be told apart by it and stay;
+    null, empty and wordless texts are clean.
+    """
     return _without(docs, benchmark_suffixes.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"), "contaminated")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and disclosing terms are replaced in the text."""
+    """Personal data and disclosing terms are replaced in the text.
+
+    All rows stay, repeated ones each; rows without an id lose their base spans, terms only rows with one. Null stays null.
+    """
     return sanitise.sanitise(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences."""
+    """Pieces of all documents in sequences.
+
+    Every row is packed, repeated ones and those without an id each by itself; a null or empty text is its end id alone.
+    """
     return packing.pack(docs, public_file("byte_bpe_50k.json"))
 
 
