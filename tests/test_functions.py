@@ -192,3 +192,21 @@ def test_streamed_audit_carries_the_last_hash(spark, tmp_path, start):
         return [(r["is_intact"], r["n_entries"], r["first_broken"]) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("batch").collect()]
 
     assert run("forged") == [(True, 6 - start, None), (True, 1, None), (True, 3, None), (False, 1, 11)]
+
+
+def test_p_value_agrees_with_the_interval():
+    rng = np.random.default_rng(4)
+    settled = 0
+    for shift in np.linspace(0, 1, 40):
+        x = rng.exponential(size=60) - 1 + shift
+        replicates = rng.choice(x, (4000, 60)).mean(axis=1)
+        jackknife = (x.sum() - x) / 59
+        lo, hi, how = resample.bca(x.mean(), replicates, jackknife)
+        p = resample.bca_p_value(x.mean(), replicates, jackknife)
+        assert how == "bca" and 0 < p <= 1
+        if abs(p - 0.05) > 0.005:
+            assert (p < 0.05) == (lo > 0 or hi < 0)
+            settled += p < 0.05
+    assert 5 < settled < 40
+    same = np.ones(10)
+    assert resample.bca_p_value(1.0, same, same) == 0.2
