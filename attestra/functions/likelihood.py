@@ -113,3 +113,10 @@ def pair_key(a: Column, b: Column) -> Column:
 def pair_side(a: Column, b: Column) -> Column:
     """0 or 1: which of the two ids, in order, the pair is attributed to."""
     return F.conv(F.substring(F.sha2(pair_key(a, b), 256), 2, 1), 16, 10).cast("int") % 2
+
+
+def hashed_normal(*parts: Column | str) -> Column:
+    """A standard normal number from a hash of the parts: the same in any engine and any order of rows."""
+    digest = F.sha2(F.concat_ws(":", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]), 256)
+    first, second = ((F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 0.5) / 2.0**32 for at in (1, 9))
+    return F.sqrt(-2 * F.log(first)) * F.cos(2 * math.pi * second)

@@ -109,8 +109,9 @@ def frames(rows: DataFrame, part: str, order: str, value: str, length: int, hop:
     return spread.groupBy(part, "frame").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.avg(F.col("v") * F.col("v")).alias("energy"))
 
 
-def folded(rows: DataFrame, part: str, order: str, size: Column, target: int, name: str = "pack") -> DataFrame:
-    """part, order, pack: rows packed in order until a pack reaches ``target``, then afresh; the unfinished tail has pack null.
+def folded(rows: DataFrame, part: str, order: str, size: Column, target: int, name: str = "pack", tail: float | None = None) -> DataFrame:
+    """part, order, pack: rows packed in order until a pack reaches ``target``, then afresh; the unfinished tail has pack null,
+    unless it reaches ``tail``.
 
     The accumulator resets, so it is a fold over the group's sizes (numbers only), not a running sum.
     """
@@ -127,6 +128,8 @@ def folded(rows: DataFrame, part: str, order: str, size: Column, target: int, na
             if total >= target:
                 out[start : i + 1] = [k] * (i + 1 - start)
                 total, k, start = 0.0, k + 1, i + 1
+        if tail is not None and start < len(p) and total >= tail:
+            out[start:] = [k] * (len(p) - start)
         return p[[part, order]].assign(**{name: pd.array(out, dtype="Int32")})
 
     return small.groupBy(part).applyInPandas(fold, schema)
