@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,27 +111,66 @@ def frames(rows: DataFrame, part: str, order: str, value: str, length: int, hop:
     return spread.groupBy(part, "frame").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.avg(F.col("v") * F.col("v")).alias("energy"))
 
 
-def folded(rows: DataFrame, part: str, order: str, size: Column, target: int, name: str = "pack", tail: float | None = None) -> DataFrame:
+def _closed(sizes: np.ndarray, target: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums, packs, carry): running sums, and for a pack begun at each row, or after the last, what is closed and open at the end."""
+    sums, n = np.cumsum(sizes), len(sizes)
+    before = np.concatenate([[0.0], sums])
+    ends = np.searchsorted(sums, before[:-1] + target)  # the row that fills a pack begun at each row
+    packs, carry = np.zeros(n + 1, "int64"), np.zeros(n + 1)
+    for i in range(n - 1, -1, -1):
+        if ends[i] < n:
+            packs[i], carry[i] = packs[ends[i] + 1] + 1, carry[ends[i] + 1]
+        else:
+            carry[i] = sums[-1] - before[i]
+    return sums, packs, carry
+
+
+def folded(rows: DataFrame, part: str, order: str, size: Column, target: int, name: str = "pack", tail: float | None = None, width: int = 10_000) -> DataFrame:
     """part, order, pack: rows packed in order until a pack reaches ``target``, then afresh; the unfinished tail has pack null,
-    unless it reaches ``tail``.
+    unless it reaches ``tail``. Null sizes count 0, a null order comes last, rows without a part are a part of their own.
 
-    The accumulator resets, so it is a fold over the group's sizes (numbers only), not a running sum.
+    The total resets, so it is no running sum. A part is cut into stretches of ``width`` values of its (numeric) order. Each
+    stretch says what it makes of any total that it may begin with: only the rows up to its first full pack matter for that. One pass over
+    a part's stretches then gives each its beginning, and stretches are packed side by side.
     """
-    import pandas as pd
-
-    schema = f"{rows.select(part, order).schema.simpleString()[7:-1].replace(':', ' ')}, {name} int"
-    small = rows.select(part, order, size.cast("double").alias("_size"))
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(order, ignore_index=True)
-        out, total, k, start = [None] * len(p), 0.0, 0, 0
-        for i, s in enumerate(p["_size"]):
-            total += s
-            if total >= target:
-                out[start : i + 1] = [k] * (i + 1 - start)
-                total, k, start = 0.0, k + 1, i + 1
-        if tail is not None and start < len(p) and total >= tail:
-            out[start:] = [k] * (len(p) - start)
-        return p[[part, order]].assign(**{name: pd.array(out, dtype="Int32")})
-
-    return small.groupBy(part).applyInPandas(fold, schema)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (part, order)}
+    stretch = F.coalesce(F.floor(F.col(order) / width).cast("long"), F.lit(2**62))
+    small_rows = rows.select(part, order, stretch.alias("_at"), F.greatest(F.coalesce(size.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("_size"))
+
+    def outcomes(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values([order, "_size"], ignore_index=True)
+        sums, packs, carry = _closed(p["_size"].to_numpy(), target)
+        few = min(int(np.searchsorted(sums, target)) + 1, len(sums))  # later rows never end a pack that came in open
+        row = p[[part, "_at"]].head(1).assign(total=sums[-1])
+        return row.assign(sums=[sums[:few].tolist()], packs=[(packs[1 : few + 1] + 1).tolist()], carry=[carry[1 : few + 1].tolist()])
+
+    def begun(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("_at", ignore_index=True)
+        done, held, first, opened = 0, 0.0, [], []
+        for r in p.itertuples(index=False):
+            first.append(done)
+            opened.append(held)
+            end = int(np.searchsorted(r.sums, target - held))
+            if end < len(r.sums) and held + r.sums[end] >= target:
+                done, held = done + int(r.packs[end]), float(r.carry[end])
+            else:
+                held += r.total
+        return p[[part, "_at"]].assign(first=first, opened=opened, last=done, rest=held)
+
+    def packed(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values([order, "_size"], ignore_index=True)
+        sums, k, at = np.cumsum(p["_size"].to_numpy()), int(p["first"][0]), 0
+        out, base = np.empty(len(p), "int64"), -float(p["opened"][0])
+        while at < len(p):
+            end = min(int(np.searchsorted(sums, base + target)), len(p) - 1)
+            out[at : end + 1] = k
+            at, k, base = end + 1, k + 1, sums[end]
+        lost = (out == p["last"]) & (tail is None or float(p["rest"][0]) < tail)
+        return p[[part, order]].assign(**{name: pd.array(np.where(lost, -1, out), dtype="Int32")}).replace({name: {-1: pd.NA}})
+
+    key = f"`{part}` {kinds[part]}, _at long"
+    said = small_rows.groupBy(part, "_at").applyInPandas(outcomes, f"{key}, total double, sums array<double>, packs array<long>, carry array<double>")
+    begins = said.groupBy(part).applyInPandas(begun, f"{key}, first long, opened double, last long, rest double")
+    begins = begins.withColumnsRenamed({part: "_part", "_at": "_begin"})
+    joined = small_rows.join(begins, F.col(part).eqNullSafe(F.col("_part")) & (F.col("_at") == F.col("_begin"))).drop("_part", "_begin")
+    return joined.groupBy(part, "_at").applyInPandas(packed, f"`{part}` {kinds[part]}, `{order}` {kinds[order]}, {name} int")
