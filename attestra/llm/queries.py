@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_suffixes, crf_language, fm_index, nb_svm_quality, packing, radix_suffixes, repair, sanitise, sorted_projections, sql, superminhash
+from . import benchmark_suffixes, crf_language, exact_combining, fm_index, nb_svm_quality, packing, radix_suffixes, repair, sanitise, sorted_projections, sql, superminhash, turn_alignment, zone_maps
 from .common import table
 from .tokens import public_file
 
@@ -49,6 +49,18 @@ def op10_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read(repair.write(table(spark, sf_dir, "documents"), public_file("word_bpe_49k.json")))
 
 
+def op11_hilbert_zone_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_maps.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_turn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_alignment.report(table(spark, sf_dir, "conversations"))
+
+
+def op13_skew_safe_combining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_combining.deduplicate(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +74,9 @@ QUERIES = {
         op8_fm_index_repeats,
         op9_benchmark_suffix_arrays,
         op10_repair_token_files,
+        op11_hilbert_zone_maps,
+        op12_turn_alignment,
+        op13_skew_safe_combining,
     )
 }
 #: For small tables, where SQL can express the whole result.
@@ -71,4 +86,7 @@ ORACLE_SQL = {
     "op7_sorted_projection_passes": sql.VECTORS,
     "op8_fm_index_repeats": sql.REPEATED_WORDS,
     "op9_benchmark_suffix_arrays": sql.BENCHMARK,
+    "op11_hilbert_zone_maps": sql.CLUSTERS,
+    "op12_turn_alignment": sql.CONVERSATIONS,
+    "op13_skew_safe_combining": sql.EXACT,
 }

@@ -44,3 +44,45 @@ s AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM (SELECT doc_id, i, su
 o AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS after FROM s),
 k AS (SELECT o.doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(hex(array_slice(b, before + 1, lo)) || CASE WHEN after IS NULL THEN hex(array_slice(b, hi + 1, octet_length(b))) ELSE '' END, '' ORDER BY lo) AS kept FROM o JOIN t ON t.doc_id = o.doc_id GROUP BY 1)
 SELECT t.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN k.doc_id IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id"""
+
+EXACT = r"""WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+g AS (SELECT norm, count(*) AS group_size, first(doc_id ORDER BY n DESC, doc_id NULLS LAST) AS keep_id FROM t GROUP BY norm)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t.norm) AS text_sha256 FROM t JOIN g USING (norm)"""
+
+
+def _rounds(n: int) -> str:
+    """Assignments a0..an to the centroids c0..cn."""
+    out = []
+    for k in range(n + 1):
+        if k:
+            out.append(f"""s{k} AS MATERIALIZED (SELECT num, list(f ORDER BY i) AS c FROM (SELECT num, i, (s - ((s % n) + n) % n) // n AS f FROM (SELECT a.num, i, sum(v.q[i])::HUGEINT AS s, count(*) AS n FROM a{k - 1} a JOIN v USING (r), range(1, 65) t(i) GROUP BY 1, 2)) GROUP BY num),
+c{k} AS MATERIALIZED (SELECT c.num, CAST(coalesce(s.c, c.c) AS BIGINT[]) AS c FROM c{k - 1} c LEFT JOIN s{k} s USING (num))""")
+        out.append(f"a{k} AS MATERIALIZED (SELECT r, min(ROW(d, num)) AS best, min(ROW(d, num))[2] AS num, min(ROW(d, num))[1] AS d FROM (SELECT v.r, c.num, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.c[i]) * (v.q[i] - c.c[i]))) AS BIGINT) AS d FROM v, c{k} c) GROUP BY r)")
+    return ",\n".join(out)
+
+
+CLUSTERS = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding::DOUBLE[], lambda x: CAST(floor(x * 256) AS BIGINT)) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS num, q AS c FROM (SELECT q, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT 40)),
+{_rounds(5)},
+p AS (SELECT num, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a5 GROUP BY num)
+SELECT vec_id, a.num AS cluster, a.d AS distance, cluster_inertia, CAST((SELECT sum(d) FROM a5) AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256 FROM a5 a JOIN v USING (r) JOIN p USING (num) JOIN c5 c USING (num)"""
+
+_CRC32 = """CAST(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({}, ''), lambda ch: ascii(ch)::UBIGINT)), lambda x, y: list_reduce(list_prepend(xor(x, y), list_transform(range(8), lambda b: 0::UBIGINT)), lambda p, q: CASE WHEN p & 1 = 1 THEN xor(p >> 1, 3988292384::UBIGINT) ELSE p >> 1 END)) AS UBIGINT)"""
+#: Row by row with the least (cost, audit) of each state: n nothing yet, s, u and a after such a turn; up to two turns put in before a row and at the end.
+CONVERSATIONS = rf"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor({_CRC32.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")}, 4294967295::UBIGINT) % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM d),
+f AS MATERIALIZED (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, role[1] AS one, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS before
+  FROM (SELECT *, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth FROM o)),
+put(put_from, put_to, roles, edits, price) AS (VALUES ('n', 'n', []::VARCHAR[], '', 0), ('s', 's', [], '', 0), ('u', 'u', [], '', 0), ('a', 'a', [], '', 0), ('n', 'u', ['user:'], 'I', 2), ('s', 'u', ['user:'], 'I', 2), ('a', 'u', ['user:'], 'I', 2), ('u', 'a', ['assistant:'], 'I', 2), ('n', 'a', ['user:', 'assistant:'], 'II', 4), ('s', 'a', ['user:', 'assistant:'], 'II', 4), ('u', 'u', ['assistant:', 'user:'], 'II', 4), ('a', 'a', ['user:', 'assistant:'], 'II', 4)),
+step(step_from, step_to) AS (VALUES ('n', 's'), ('n', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+best AS (SELECT conv_id, 0::BIGINT AS pos, 'n' AS state, ROW(0, '', []::VARCHAR[]) AS m FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, pos, state, min(m) FROM (
+    SELECT b.conv_id, f.pos, x.state, ROW(b.m[1] + price + x.cost, b.m[2] || edits || x.edit, list_concat(list_concat(b.m[3], roles), x.turn)) AS m
+    FROM best b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.pos = b.pos + 1 JOIN put ON put_from = b.state,
+    LATERAL (SELECT put_to AS state, 3 AS cost, 'D' AS edit, []::VARCHAR[] AS turn UNION ALL SELECT step_to, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END + CASE WHEN one = step_to THEN 0 ELSE 2 END, CASE WHEN one = step_to THEN 'K' ELSE 'R' END, [CASE WHEN one = step_to THEN role WHEN step_to = 'u' THEN 'user' ELSE 'assistant' END || ':' || text]
+      FROM step WHERE step_from = put_to AND (one = step_to OR step_to <> 's') AND coalesce(fault, '') NOT IN ('blank', 'duplicate')) x) GROUP BY 1, 2, 3),
+n AS (SELECT conv_id, max(pos) AS pos FROM best GROUP BY 1),
+r AS (SELECT b.conv_id, min(ROW(m[1] + price, m[2] || edits, list_concat(m[3], roles))) AS m FROM best b JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id AND n.pos = b.pos JOIN put ON put_from = b.state WHERE put_to IN ('n', 'a') GROUP BY 1),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || one NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+SELECT r.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(m[1] AS BIGINT) AS cost, m[2] AS audit, sha256(array_to_string(m[3], chr(10))) AS repaired_sha256 FROM r LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM r.conv_id"""
