@@ -15,7 +15,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
-from .window_passes import Windows, covered, marks, prepared, ranges, with_marks
+from .window_passes import Windows, covered, for_each_text, marks, ranges, with_marks
 
 WINDOW = 20
 CORE = 5
@@ -126,17 +126,17 @@ def _cut(doc_id: int, text: bytes, runs: list[dict], length: int) -> dict:
 
 
 def repeated_windows(docs: DataFrame, length: int = WINDOW, core: int = CORE) -> DataFrame:
-    """doc_id, lo, n_windows: runs of windows of ``length`` words that occur earlier (smaller doc_id, or before)."""
+    """doc_id, lo, n_windows: runs of windows of ``length`` words that occur earlier (smaller doc_id, or before); docs: unique doc_id, text as bytes."""
     w = Windows(length, core, _units, partial(_order, core=core), True)
-    return marks(prepared(docs), w, partial(settle, length=length), "fm")
+    return marks(docs, w, partial(settle, length=length), "fm")
 
 
 def remove_repeats(docs: DataFrame, length: int = WINDOW, core: int = CORE) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256.
 
-    Null and empty texts have no words; texts shorter than a window lose nothing. Rows that repeat a doc_id are one
-    document, not copies of each other. Documents without an id are left out; other columns are ignored.
+    Null and empty texts have no words; texts shorter than a window lose nothing. Rows that repeat a doc_id and its text
+    are one document, not copies of each other; unlike texts of one doc_id are documents of their own, in the order of
+    their SHA-256. Documents without an id are left out; other columns are ignored.
     """
-    marked = repeated_windows(docs, length, core)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return with_marks(prepared(docs), marked, partial(_cut, length=length), schema, "fm")
+    return for_each_text(docs, lambda d: with_marks(d, repeated_windows(d, length, core), partial(_cut, length=length), schema, "fm"), "fm")

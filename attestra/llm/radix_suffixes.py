@@ -14,7 +14,7 @@ from functools import partial
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .window_passes import Windows, covered, marks, prepared, ranges, with_marks
+from .window_passes import Windows, covered, for_each_text, marks, ranges, with_marks
 
 WINDOW = 400
 CORE = 100
@@ -96,17 +96,17 @@ def _cut(doc_id: int, text: bytes, runs: list[dict], length: int) -> dict:
 
 
 def repeated_strings(docs: DataFrame, length: int = WINDOW, core: int = CORE) -> DataFrame:
-    """doc_id, lo, n_windows: runs of strings of ``length`` bytes that start anywhere else too."""
+    """doc_id, lo, n_windows: runs of strings of ``length`` bytes that start anywhere else too; docs: unique doc_id, text as bytes."""
     w = Windows(length, core, _units, partial(_order, core=core), False)
-    return marks(prepared(docs), w, partial(settle, length=length), "radix")
+    return marks(docs, w, partial(settle, length=length), "radix")
 
 
 def remove_repeats(docs: DataFrame, length: int = WINDOW, core: int = CORE) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    Null and empty texts have no bytes; texts shorter than ``length`` lose nothing. Rows that repeat a doc_id are one
-    document, not copies of each other. Documents without an id are left out; other columns are ignored.
+    Null and empty texts have no bytes; texts shorter than ``length`` lose nothing. Rows that repeat a doc_id and its text
+    are one document, not copies of each other; unlike texts of one doc_id are documents of their own. Documents without
+    an id are left out; other columns are ignored.
     """
-    marked = repeated_strings(docs, length, core)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return with_marks(prepared(docs), marked, partial(_cut, length=length), schema, "radix")
+    return for_each_text(docs, lambda d: with_marks(d, repeated_strings(d, length, core), partial(_cut, length=length), schema, "radix"), "radix")

@@ -59,8 +59,11 @@ def cheapest(needed: dict[int, int], least: int) -> int:
 
 
 def _classes(batch: pa.RecordBatch) -> pa.RecordBatch:
-    ids, keep, vecs, hashes = batch.column(0).to_pylist(), [], [], []
-    for i, v in zip(ids, batch.column(1).to_pylist()):
+    """A row for each vector; those that link with nothing have no class."""
+    vecs, hashes = [], []
+    for v in batch.column(1).to_pylist():
+        vecs.append(None)
+        hashes.append(None)
         if v is None or not v or any(x is None for x in v):
             continue
         x = np.array(v, np.float64)
@@ -69,10 +72,8 @@ def _classes(batch: pa.RecordBatch) -> pa.RecordBatch:
             continue
         x = x / big  # norms of very large and very small vectors stay finite
         x /= np.linalg.norm(x)
-        keep.append(i)
-        vecs.append(x.tobytes())
-        hashes.append(xxhash.xxh3_128_digest(x.tobytes()))
-    return arrow_batch(vec_id=pa.array(keep, pa.int64()), cls=pa.array(hashes, pa.binary()), vec=pa.array(vecs, pa.binary()))
+        vecs[-1], hashes[-1] = x.tobytes(), xxhash.xxh3_128_digest(x.tobytes())
+    return arrow_batch(vec_id=batch.column(0), cls=pa.array(hashes, pa.binary()), vec=pa.array(vecs, pa.binary()))
 
 
 def _keys(batch: pa.RecordBatch, n_passes: int, seed: int) -> pa.RecordBatch:
@@ -215,16 +216,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     """Per vector: vec_id, n_links, component_id, kept (vec_id = component_id).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors of
-    different lengths. Rows that repeat a vec_id are copies of each other; rows without an id are left out. An empty
-    table gives an empty result; other columns are ignored.
+    different lengths. Every row counts as a vector of its own, also where rows repeat a vec_id; rows without an id are
+    left out. An empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     vectors = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    unit = saved(vectors.mapInArrow(batches(_classes), "vec_id long, cls binary, vec binary"), "unit")
+    rows = saved(vectors.mapInArrow(batches(_classes), "vec_id long, cls binary, vec binary"), "unit")
+    unit = rows.where("cls is not null")
     one = unit.groupBy("cls").agg(F.min(F.struct("vec_id", "vec")).alias("first"), F.count("*").alias("copies"))
     reps = saved(one.select("cls", F.col("first.vec_id").alias("rep"), F.col("first.vec").alias("vec"), "copies"), "reps")
+    names = None
+    if not reps.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        # unlike vectors of one vec_id: classes go by numbers in the order of their ids
+        ordered = reps.repartitionByRange("rep", "cls").sortWithinPartitions("rep", "cls")
+        reps = saved(ordered.withColumn("name", F.col("rep")).withColumn("rep", F.monotonically_increasing_id()), "reps")
+        names, reps = reps.select(F.col("rep").alias("component_id"), "name"), reps.drop("name")
     sample = _missed(_placed(reps, LEAST_PASSES, block, seed + 1, parts), threshold)
     needed = sample.groupBy(F.ceil(LEAST_PASSES * math.log(MISS) / F.col("missed")).cast("int").alias("k")).agg(F.count("*").alias("rows"))
     needed = {r["k"]: r["rows"] for r in needed.collect()}  # a row for each number of passes
@@ -268,6 +276,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     roots = components(found.where("b is not null").select("a", "b"), "links").withColumnRenamed("node", "rep")
     by_class = reps.select("cls", "rep", "copies").join(links, "rep", "left").join(roots, "rep", "left")
     by_class = by_class.select("cls", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    if names is not None:
+        by_class = by_class.join(names, "component_id").drop("component_id").withColumnRenamed("name", "component_id")
     linked = unit.select("vec_id", "cls").join(by_class, "cls").select("vec_id", "n_links", "component_id")
-    alone = vectors.select("vec_id").join(unit.select("vec_id"), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = rows.where("cls is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -189,7 +189,7 @@ def ranges(doc: np.ndarray, lo: np.ndarray, hit: np.ndarray) -> list[tuple[int,
 
 
 def marks(docs: DataFrame, w: Windows, settle, name: str) -> DataFrame:
-    """(doc_id, lo, n_windows): runs of windows that are repeats. settle: rows of a block -> such runs.
+    """(doc_id, lo, n_windows): runs of windows that are repeats; ids are unique. settle: rows of a block -> such runs.
 
     All joins shuffle unless Spark finds a side below its own broadcast threshold. They hash the side whose keys are
     unique, which is small in each partition, so the other side, texts among it, is neither sorted nor kept.
@@ -272,3 +272,21 @@ def covered(n_units: int, runs: list[dict], length: int) -> np.ndarray:
 def prepared(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     return documents(docs).where("doc_id is not null")
+
+
+def for_each_text(docs: DataFrame, run: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """run(doc_id, text), which needs ids that are unique, for every row of ``docs``.
+
+    Where ids repeat, each different text of an id becomes a document with a key of its own. Keys are in the order of the
+    id, then of the text's digest; rows alike in both share one.
+    """
+    rows = prepared(docs)
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return run(rows)
+    own = ["doc_id", "_text"]
+    rows = rows.withColumn("_text", F.sha2("text", 256))
+    order = rows.select(*own).distinct().repartitionByRange(*own).sortWithinPartitions(*own)
+    keys = saved(order.withColumn("_key", F.monotonically_increasing_id()), name)
+    unique = saved(rows.dropDuplicates(own).join(keys, own).select(F.col("_key").alias("doc_id"), "text"), name)
+    found = run(unique).withColumnRenamed("doc_id", "_key")
+    return rows.select(*own).join(keys, own).join(found, "_key").drop("_key", "_text")
