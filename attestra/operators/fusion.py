@@ -84,35 +84,16 @@ def fit_linear(matrix: DataFrame, streams: tuple[str, ...], steps: int = 200, ra
     return w / scale, bias
 
 
-def class_moments(matrix: DataFrame, streams: tuple[str, ...]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """label -> (means, covariance) from pairwise sums of present values, shrunk towards a multiple of the identity."""
-    k = len(streams)
-    sums = [F.avg(F.col(s)).alias(f"m{i}") for i, s in enumerate(streams)]
-    sums += [F.covar_pop(F.col(streams[i]), F.col(streams[j])).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
-    out = {}
-    for r in matrix.groupBy("label").agg(F.count("*").alias("n"), *sums).collect():  # two rows
-        mean = np.array([r[f"m{i}"] or 0.0 for i in range(k)])
-        cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-        pull = min(0.9, k * (k + 1) / (2 * max(r["n"], 1)))
-        out[r["label"]] = mean, (1 - pull) * cov + pull * max(np.trace(cov) / k, 1e-6) * np.eye(k)
-    return out
-
-
-def gaussian_log_density(streams: tuple[str, ...], mean: np.ndarray, cov: np.ndarray) -> Column:
+def gaussian_log_density(streams: tuple[str, ...], mean: np.ndarray, cov: np.ndarray, pattern: Column | None = None) -> Column:
     """Log density of the streams present: one quadratic form for each of the at most 31 patterns, picked by ``pattern``."""
+    bits = F.col("pattern") if pattern is None else pattern
     out = None
-    for pattern in range(1, 1 << len(streams)):
-        on = [i for i in range(len(streams)) if pattern >> i & 1]
+    for one in range(1, 1 << len(streams)):
+        on = [i for i in range(len(streams)) if one >> i & 1]
         inv = np.linalg.inv(cov[np.ix_(on, on)])
         fixed = -0.5 * (len(on) * math.log(2 * math.pi) + float(np.linalg.slogdet(cov[np.ix_(on, on)])[1]))
         d = [F.col(streams[i]) - float(mean[i]) for i in on]
         q = sum((float(inv[a, b]) * d[a] * d[b] for a in range(len(on)) for b in range(len(on))), F.lit(0.0))
         value = F.lit(fixed) - 0.5 * q
-        out = F.when(F.col("pattern") == pattern, value) if out is None else out.when(F.col("pattern") == pattern, value)
+        out = F.when(bits == one, value) if out is None else out.when(bits == one, value)
     return out
-
-
-def latent(matrix: DataFrame, streams: tuple[str, ...]) -> Column:
-    """Fused log LR: Gaussian densities of the two classes on the streams present."""
-    m = class_moments(matrix, streams)
-    return gaussian_log_density(streams, *m[1]) - gaussian_log_density(streams, *m[0])

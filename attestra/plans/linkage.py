@@ -82,14 +82,6 @@ def ablation_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.ablation(fusion.wide(observations(spark, sf_dir)), USED).withColumn("cllr", _r("cllr"))
 
 
-@query(None)
-def latent_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaussian fusion on the streams present, its parameters from all rows."""
-    m = stored(fusion.wide(observations(spark, sf_dir)), "matrix")
-    bits = sum((F.when(F.col(s).isNotNull(), 1 << i).otherwise(0) for i, s in enumerate(USED)), F.lit(0))
-    return m.withColumn("pattern", bits).select("cmp_id", "label", _r(fusion.latent(m, USED)).alias("log_lr"))
-
-
 @query(f"WITH {_OBS} SELECT cmp_id, CASE WHEN device < -0.8 THEN 'indeterminate' WHEN abs(coalesce(temporal, 0)) > 2.5 THEN 'indeterminate' WHEN acoustic >= 2.3 THEN 'admitted' WHEN acoustic <= -2.3 THEN 'excluded' ELSE 'indeterminate' END AS verdict FROM m")
 def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fusion.wide(observations(spark, sf_dir))

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import behaviour, calibration, comparison, evidence, linkage, records, sequences, streams  # noqa: F401
+from .plans import behaviour, calibration, comparison, evidence, fusing, linkage, records, sequences, streams  # noqa: F401
 from .plans.registry import QUERIES, SQL  # noqa: F401
