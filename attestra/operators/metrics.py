@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.likelihood import LN10, cost, softplus
 from ..sources.tables import stored
+from . import kernel
 from .ordered import cumulative, in_ranges
 
 MIN_PER_CLASS = 30
@@ -232,13 +233,8 @@ def silverman(rows: DataFrame) -> DataFrame:
 def kde_log_ratio(queries: DataFrame, hist: DataFrame, bandwidths: DataFrame) -> DataFrame:
     """score, log_ratio for distinct query scores: log density among same-source less that among different-source.
 
-    The sample enters as a histogram of distinct scores; each class sums its kernels from its largest exponent.
+    The sample enters as a histogram of distinct scores, gathered into cells; no query meets a sample row.
     """
-    long = hist.select("score", F.explode(F.array(F.struct(F.lit(1).alias("label"), F.col("n_same").alias("w")), F.struct(F.lit(0).alias("label"), F.col("n_different").alias("w")))).alias("x"))
-    sample = long.select(F.col("score").alias("at"), "x.label", "x.w").where("w > 0").join(F.broadcast(bandwidths), "label")
-    e = -0.5 * F.pow((F.col("score") - F.col("at")) / F.col("h"), F.lit(2)) + F.log("w")
-    rows = queries.select("score").distinct().join(F.broadcast(sample)).select("score", "label", "n", "h", e.alias("e"))
-    top = rows.groupBy("score", "label").agg(F.max("e").alias("top"), F.collect_list("e").alias("es"), F.first("n").alias("n"), F.first("h").alias("h"))
-    density = F.col("top") + F.log(F.aggregate("es", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))) - F.log("n") - F.log("h")
-    side = top.select("score", "label", density.alias("d"))
-    return side.groupBy("score").agg((F.max(F.when(F.col("label") == 1, F.col("d"))) - F.max(F.when(F.col("label") == 0, F.col("d")))).alias("log_ratio"))
+    h = {r["label"]: r["h"] for r in bandwidths.collect()}  # two rows
+    of = lambda label, n: kernel.density(hist.where(F.col(n) > 0).select("score", F.col(n).alias("w")), h.get(label) or 1e-6)
+    return kernel.log_ratios(queries.select("score").distinct(), of(1, "n_same"), of(0, "n_different"))
