@@ -45,6 +45,22 @@ def uniform_prior(n: Column) -> Column:
     return F.when(n >= 2, -F.log(n - 1))
 
 
+def _prior(log_odds: Column, basis: str, mode: str, justification: Column, supplied_by: Column) -> Column:
+    """struct<log_odds, basis, search_mode, justification, supplied_by>; null where the odds, the reason or the name is missing."""
+    said = F.coalesce(F.trim(justification) != "", F.lit(False)) & F.coalesce(supplied_by != "system", F.lit(False))  # such a prior is a judgement of a person
+    return F.when(log_odds.isNotNull() & said, F.struct(log_odds.alias("log_odds"), F.lit(basis).alias("basis"), F.lit(mode).alias("search_mode"), justification.alias("justification"), supplied_by.alias("supplied_by")))
+
+
+def restricted_prior(n: Column, justification: Column, supplied_by: Column) -> Column:
+    """That one of the others in a population of n that an investigator narrowed is the source; n is at least 2."""
+    return _prior(F.when(n >= 2, -F.log(n - 1)), "restricted_population", "database_search", justification, supplied_by)
+
+
+def circumstances_prior(odds: Column, justification: Column, supplied_by: Column) -> Column:
+    """Positive odds that an investigator states for a verification; a search over a database takes none."""
+    return _prior(F.when(odds > 0, F.log(odds)), "case_circumstances", "verification", justification, supplied_by)
+
+
 def cost(score: Column, label: Column) -> Column:
     """What a trial adds to C_llr, in bits."""
     return F.when(label == 1, softplus(-score)).otherwise(softplus(score)) / math.log(2)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.likelihood import LN10, cost, softplus
 from ..sources.tables import stored
 from . import kernel
-from .ordered import cumulative, in_ranges
+from .ordered import between, cumulative, edges_of, in_ranges
 
 MIN_PER_CLASS = 30
 
@@ -120,21 +120,21 @@ def cllr_min(fitted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rows.groupBy(*by).agg((0.5 * (mine / F.first("same") + other / F.first("different")) / math.log(2)).alias("cllr_min"))
 
 
-def with_devils(hist: DataFrame) -> DataFrame:
-    """hist with a different-source trial above all scores and a same-source trial below."""
-    ends = hist.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).withColumn("m", F.greatest(F.col("hi") - F.col("lo"), F.lit(1.0)))
-    added = ends.select(F.explode(F.array(F.struct((F.col("hi") + F.col("m")).alias("score"), F.lit(0).cast("long").alias("n_same"), F.lit(1).cast("long").alias("n_different")),
-                                          F.struct((F.col("lo") - F.col("m")).alias("score"), F.lit(1).cast("long").alias("n_same"), F.lit(0).cast("long").alias("n_different")))).alias("x"))
-    return hist.select("score", "n_same", "n_different").unionByName(added.select("x.*"))
+def with_devils(hist: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """hist with a different-source trial above all scores and a same-source trial below, in each group of ``by``."""
+    ends = hist.groupBy(*by).agg(F.min("score").alias("lo"), F.max("score").alias("hi")).withColumn("m", F.greatest(F.col("hi") - F.col("lo"), F.lit(1.0)))
+    added = ends.select(*by, F.explode(F.array(F.struct((F.col("hi") + F.col("m")).alias("score"), F.lit(0).cast("long").alias("n_same"), F.lit(1).cast("long").alias("n_different")),
+                                               F.struct((F.col("lo") - F.col("m")).alias("score"), F.lit(1).cast("long").alias("n_same"), F.lit(0).cast("long").alias("n_different")))).alias("x"))
+    return hist.select(*by, "score", "n_same", "n_different").unionByName(added.select(*by, "x.*"))
 
 
-def elub(hist: DataFrame) -> DataFrame:
-    """One row lower_log_lr, upper_log_lr: extreme finite block values of the refitted calibration."""
-    fitted = pav(with_devils(hist))
-    t = totals(fitted)
+def elub(hist: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each group) lower_log_lr, upper_log_lr: extreme finite block values of the refitted calibration."""
+    fitted = pav(with_devils(hist, by), by)
+    t = F.broadcast(totals(fitted, by))  # a row for each group
     x = pav_log_lr(F.col("fitted"), F.col("same"), F.col("different"))
-    rows = fitted.crossJoin(F.broadcast(t)).select(F.when(F.abs(x) != math.inf, x).alias("x"))
-    return rows.agg(F.min("x").alias("lower_log_lr"), F.max("x").alias("upper_log_lr"))
+    rows = (fitted.join(t, list(by)) if by else fitted.crossJoin(t)).select(*by, F.when(F.abs(x) != math.inf, x).alias("x"))
+    return rows.groupBy(*by).agg(F.min("x").alias("lower_log_lr"), F.max("x").alias("upper_log_lr"))
 
 
 #: What a C_llr says of a system; at 1 it says nothing, above 1 it misleads.
@@ -204,23 +204,44 @@ def fit_logistic(rows: DataFrame, steps: int = 60) -> tuple[float, float]:
     return a / spread, b - a * ends["m"] / spread
 
 
-def knots(fitted: DataFrame) -> DataFrame:
+def knots(fitted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """score, log_lr: one knot a block, at its highest score, the posterior kept off 0 and 1."""
-    t = totals(fitted)
+    t = F.broadcast(totals(fitted, by))  # a row for each group
     n = F.col("same") + F.col("different")
     p = F.greatest(F.least(F.col("fitted"), 1 - 1 / (2 * n)), 1 / (2 * n))
-    rows = fitted.groupBy("block").agg(F.max("score").alias("score"), F.first("fitted").alias("fitted")).crossJoin(F.broadcast(t))
-    return rows.select("score", (F.log(p) - F.log1p(-p) - F.log(F.col("same") / F.col("different"))).alias("log_lr"))
+    rows = fitted.groupBy(*by, "block").agg(F.max("score").alias("score"), F.first("fitted").alias("fitted"))
+    rows = rows.join(t, list(by)) if by else rows.crossJoin(t)
+    return rows.select(*by, "score", (F.log(p) - F.log1p(-p) - F.log(F.col("same") / F.col("different"))).alias("log_lr"))
 
 
-def interpolated(rows: DataFrame, at: DataFrame) -> DataFrame:
-    """rows with log_lr between knots, constant outside: a range join on the knots (one for each block)."""
-    w = Window.orderBy("score")
-    k = at.select(F.col("score").alias("x0"), F.col("log_lr").alias("y0"), F.lead("score").over(w).alias("x1"), F.lead("log_lr").over(w).alias("y1"), F.row_number().over(w).alias("i"))
+def interpolated(rows: DataFrame, at: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with log_lr between knots (of their group), constant outside. Scores are not null.
+
+    Rows and knots go to score ranges; inside, a row has a knot before and after it in order, and across ranges the last
+    knot before and the first one after come from a row for each range.
+    """
+    edges = edges_of(rows, "score")
+    knot = F.struct(F.col("score").alias("x"), F.col("log_lr").alias("y"))
+    k = between(at.select(*by, "score", knot.alias("_knot")), "score", edges)
+    ends = k.groupBy(*by, "_range").agg(F.min("_knot").alias("first"), F.max("_knot").alias("last"))
+    every = ends.select(*by).distinct() if by else ends.limit(1).select()
+    ends = every.crossJoin(rows.sparkSession.range(len(edges) + 1).select(F.col("id").cast("int").alias("_range"))).join(ends, [*by, "_range"], "left")
+    along = Window.partitionBy(*by).orderBy("_range")
+    outside = ends.select(
+        *by, "_range",
+        F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("first").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    placed = between(rows, "score", edges)
+    whole = placed.withColumn("_knot", F.lit(None).cast(k.schema["_knot"].dataType)).unionByName(k.withColumn("_is", F.lit(True)), allowMissingColumns=True)
+    inside = Window.partitionBy(*by, "_range").orderBy("score")
+    low = F.last("_knot", True).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    high = F.first("_knot", True).over(inside.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    whole = whole.withColumns({"_low": low, "_high": high}).where("_is is null")
+    out = whole.join(F.broadcast(outside), [*by, "_range"], "left")  # ranges times groups
+    a, b = F.coalesce("_low", "_before"), F.coalesce("_high", "_after")
     s = F.col("score")
-    inside = ((s >= F.col("x0")) & (F.col("x1").isNull() | (s < F.col("x1")))) | ((F.col("i") == 1) & (s < F.col("x0")))
-    y = F.when((s <= F.col("x0")) | F.col("x1").isNull(), F.col("y0")).otherwise(F.col("y0") + (s - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")))
-    return rows.join(F.broadcast(k), inside).withColumn("log_lr", y).drop("x0", "y0", "x1", "y1", "i")
+    y = F.when(a.isNull(), b["y"]).when(b.isNull() | (a["x"] == s) | (a["x"] == b["x"]), a["y"]).otherwise(a["y"] + (s - a["x"]) * (b["y"] - a["y"]) / (b["x"] - a["x"]))
+    return out.withColumn("log_lr", y).select(*rows.columns, "log_lr")
 
 
 def silverman(rows: DataFrame) -> DataFrame:

@@ -12,10 +12,19 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
+def edges_of(rows: DataFrame, order: str, ranges: int = RANGES) -> list[float]:
+    """Boundaries of ranges of ``order``: approximate quantiles."""
+    return sorted(set(rows.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.01)))
+
+
+def between(rows: DataFrame, order: str, edges: list[float]) -> DataFrame:
+    """rows with _range: the number of boundaries below."""
+    return rows.withColumn("_range", F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(order))) if edges else F.lit(0))
+
+
 def in_ranges(rows: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
     """rows with _range: the number of their range of ``order``. Boundaries are approximate quantiles."""
-    edges = sorted(set(rows.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.01)))
-    return rows.withColumn("_range", F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(order))) if edges else F.lit(0))
+    return between(rows, order, edges_of(rows, order, ranges))
 
 
 def cumulative(rows: DataFrame, order: str, columns: dict[str, str], ranges: int = RANGES) -> DataFrame:

@@ -21,16 +21,21 @@ def is_probe(entity: Column) -> Column:
     return entity % PROBE_EVERY == 0
 
 
+def weighted(counted: DataFrame, frequencies: DataFrame, concentration: float) -> DataFrame:
+    """entity, category, n, alpha: categories unknown to the background share a bucket, named by the empty string."""
+    unseen = max(concentration * UNSEEN_MASS, 1e-6)
+    known = counted.join(frequencies.select("category", "frequency"), "category", "left")
+    known = known.select("entity", F.when(F.col("frequency").isNull(), "").otherwise(F.col("category")).alias("category"), "n", F.coalesce(F.col("frequency") * concentration, F.lit(unseen)).alias("alpha"))
+    return known.groupBy("entity", "category").agg(F.sum("n").alias("n"), F.first("alpha").alias("alpha"))
+
+
 def with_weights(counted: DataFrame, frequencies: DataFrame, concentration: float, name: str) -> DataFrame:
     """entity, name: map category -> (n, alpha, start, own), name_n: the total, name_own.
 
     start is ln Gamma(alpha) and own the entity's own share of the log LR, so that a pair needs one ln Gamma for a
     shared category. Categories unknown to the background share a bucket.
     """
-    unseen = max(concentration * UNSEEN_MASS, 1e-6)
-    known = counted.join(frequencies.select("category", "frequency"), "category", "left")
-    known = known.select("entity", F.when(F.col("frequency").isNull(), "").otherwise(F.col("category")).alias("category"), "n", F.coalesce(F.col("frequency") * concentration, F.lit(unseen)).alias("alpha"))
-    known = known.groupBy("entity", "category").agg(F.sum("n").alias("n"), F.first("alpha").alias("alpha"))
+    known = weighted(counted, frequencies, concentration)
     known = known.withColumn("start", lgamma(F.col("alpha"))).withColumn("own", lgamma(F.col("alpha") + F.col("n")) - F.col("start"))
     entry = F.struct("category", F.struct("n", "alpha", "start", "own"))
     out = known.groupBy("entity").agg(F.map_from_entries(F.collect_list(entry)).alias(name), F.sum("n").alias(f"{name}_n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.likelihood import LN10, band, lgamma, logistic, uniform_prior
 from ..operators import pairs, profiles
+from ..operators.pair_arrays import Counts, Values, scored
 from ..sources.tables import read, small, stored
 from .registry import query
 
@@ -162,22 +163,23 @@ def nig_llr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*pairs.sides(), _r(pairs.normal("amount"), 5).alias("log_lr"))
 
 
-def transactional_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts, types, agents and counterparties of every customer."""
-    lines = _lines(spark, sf_dir)
-    out = _amounts(spark, sf_dir).join(type_profiles(spark, sf_dir, 100.0), "entity", "left")
-    for name, column in (("agent", "l_suppkey"), ("party", "l_partkey")):
-        counted = profiles.counts(lines, "o_custkey", column)
-        out = out.join(pairs.with_weights(counted, profiles.background(counted), 20.0, name), "entity", "left")
-    return out
+def transactional_evidence(spark: SparkSession, sf_dir: str) -> tuple[dict, dict]:
+    """Types, agents and counterparties, and amounts of every customer."""
+    lines, orders, value = _lines(spark, sf_dir), read(spark, sf_dir, "orders"), profiles.log_floor(F.col("o_totalprice"), 0.01)
+    tables = {"kind": (orders, "o_orderpriority", 100.0), "agent": (lines, "l_suppkey", 20.0), "party": (lines, "l_partkey", 20.0)}
+    counts = {}
+    for name, (rows, column, concentration) in tables.items():
+        counted = stored(profiles.counts(rows, "o_custkey", column), name)
+        counts[name] = Counts(counted, profiles.background(counted), concentration)
+    return counts, {"amount": Values(profiles.moments(orders, "o_custkey", value), profiles.normal_prior(orders, value))}
 
 
 def transactional_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a, b, log_lr; null where either side has fewer than two transactions."""
-    rows = pairs.probe_pairs(transactional_profiles(spark, sf_dir))
-    both = lambda name, c: F.coalesce(pairs.multinomial(name, c), F.lit(0.0))
-    score = pairs.normal("amount") + both("kind", 100.0) + both("agent", 20.0) + both("party", 20.0)
-    enough = (F.col("p.amount_n") >= 2) & (F.col("q.amount_n") >= 2)
+    counts, values = transactional_evidence(spark, sf_dir)
+    rows = scored(values["amount"].moments.select("entity", "n"), counts, values)
+    score = F.col("amount") + sum((F.coalesce(c, F.lit(0.0)) for c in counts), F.lit(0.0))
+    enough = (F.col("p.n") >= 2) & (F.col("q.n") >= 2)
     return stored(rows.select(*pairs.sides(), F.when(enough, score).alias("log_lr")), "scores")
 
 
@@ -276,15 +278,12 @@ def concentration_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search(spark: SparkSession, sf_dir: str, n: int = TOP) -> DataFrame:
     """The customer with the smallest id that has two orders, against all others: transactional evidence, uniform prior."""
-    table = stored(transactional_profiles(spark, sf_dir), "profiles")
-    able = table.where("amount_n >= 2")
-    size = table.count()
-    probe = able.orderBy("entity").limit(1)
-    whole = F.struct(*table.columns)
-    rows = able.select(whole.alias("q")).join(F.broadcast(probe.select(whole.alias("p"))), F.col("p.entity") != F.col("q.entity"))
-    both = lambda name, c: F.coalesce(pairs.multinomial(name, c), F.lit(0.0))
-    score = pairs.normal("amount") + both("kind", 100.0) + both("agent", 20.0) + both("party", 20.0)
-    return pairs.searched(rows.select(F.col("q.entity").alias("candidate"), score.alias("log_lr")), n, -math.log(max(size - 1, 1)))
+    counts, values = transactional_evidence(spark, sf_dir)
+    table = stored(values["amount"].moments.select("entity", "n"), "customers")
+    found = table.agg(F.count("*").alias("size"), F.min(F.when(F.col("n") >= 2, F.col("entity"))).alias("probe")).first()
+    rows = scored(table, counts, values, lambda e: e == F.lit(found["probe"])).where("q.n >= 2")
+    score = F.col("amount") + sum((F.coalesce(c, F.lit(0.0)) for c in counts), F.lit(0.0))
+    return pairs.searched(rows.select(F.col("q.entity").alias("candidate"), score.alias("log_lr")), n, -math.log(max(found["size"] - 1, 1)))
 
 
 _SEARCH = f"""WITH {_TX.replace('entity % 50 = 0', "entity = (SELECT min(k) FROM (SELECT o_custkey AS k FROM orders GROUP BY 1 HAVING count(*) >= 2))").replace('y.entity % 50 <> 0 OR x.entity < y.entity', 'true')},

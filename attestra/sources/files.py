@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNLABELLED = "unlabelled"
@@ -49,6 +49,41 @@ def recordings(spark: SparkSession, root: str, pattern: str = "*.wav") -> DataFr
     return files.select("path", "length", nonempty(path, rx, 1).alias("speaker"), nonempty(path, rx, 2).alias("session"))
 
 
+#: File names "speaker-yymmdd-hhmmss_...": session-first names carry no speaker and don't fit.
+LABELLED = r"^([^-]+)-(\d{6}-\d{6})_"
+
+
+def labelled_name(name: Column) -> Column:
+    """struct<speaker, session> of a file name; null if it carries no speaker. Whether that speaker exists is the roster's call."""
+    return F.when(name.rlike(LABELLED), F.struct(F.regexp_extract(name, LABELLED, 1).alias("speaker"), F.regexp_extract(name, LABELLED, 2).alias("session")))
+
+
+def _listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """path, length and name of the files right under a folder; their contents are not opened. Files without a byte are passed over."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root)
+    return files.select("path", "length", F.substring_index("path", "/", -1).alias("name"))
+
+
+def scan_labelled(spark: SparkSession, root: str, roster: DataFrame, most: int = 2, least_sessions: int = 2, pattern: str = "*.wav") -> DataFrame:
+    """path, length, speaker, session of recordings whose names give a speaker that the roster has: the first ``most`` of
+    each session by name, of speakers with at least ``least_sessions`` sessions."""
+    named = _listed(spark, root, pattern).withColumn("_n", labelled_name(F.col("name"))).where("_n is not null")
+    named = named.select("path", "length", "name", "_n.*").join(roster.select(F.col("speaker_id").alias("speaker")).distinct(), "speaker", "left_semi")
+    place = F.row_number().over(Window.partitionBy("speaker", "session").orderBy("name"))  # files of one session
+    return with_sessions(named.withColumn("_k", place).where(F.col("_k") <= most).select("path", "length", "speaker", "session"), least_sessions)
+
+
+def scan_unlabelled(spark: SparkSession, roots: list[str], pattern: str = "*.wav") -> DataFrame:
+    """path, length, speaker (UNLABELLED), session and recording of background files of several folders."""
+    rows = None
+    for root in roots:
+        stem = F.regexp_replace("name", r"\.[^.]*$", "")
+        base = root.rstrip("/").rsplit("/", 1)[-1]
+        one = _listed(spark, root, pattern).select("path", "length", F.lit(UNLABELLED).alias("speaker"), stem.alias("session"), F.concat(F.lit(f"bg-{base}-"), stem).alias("recording"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def pooled(*corpora: DataFrame) -> DataFrame:
     """Several scans as one; a speaker found in two of them raises when the plan runs."""
     marked = [c.withColumn("_root", F.lit(i)) for i, c in enumerate(corpora)]
