@@ -85,6 +85,20 @@ def probe_pairs(profiles: DataFrame) -> DataFrame:
     return other.join(small(probes, 20_000), once)
 
 
+def shared(counted: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """a, b, n, rarest of pairs (a a probe) with a category in common: how many, and the reported frequency of the rarest.
+
+    Probes' categories go to the population's if their number is within bounds, so that a pair is counted where the
+    population's rows lie before anything is shuffled.
+    """
+    rare = counted.select("entity", "category").join(small(frequencies.select("category", "reported_frequency")), "category")
+    rows = stored(rare, "categories").repartition("entity")
+    probes = rows.where(is_probe(F.col("entity"))).select(F.col("entity").alias("a"), "category")
+    b = F.col("entity")
+    pairs_ = rows.join(small(probes), "category").where((F.col("a") != b) & (~is_probe(b) | (F.col("a") < b)))
+    return pairs_.groupBy("a", b.alias("b")).agg(F.count("*").alias("n"), F.min("reported_frequency").alias("rarest"))
+
+
 def sides() -> tuple[Column, Column]:
     """The ids of a scored pair as columns a and b."""
     return F.col("p.entity").alias("a"), F.col("q.entity").alias("b")

@@ -194,53 +194,94 @@ def transactional_score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactional_scores(spark, sf_dir).select("a", "b", _r("log_lr", 4).alias("log_lr"))
 
 
-_DEVICE = "(SELECT user_id, event_type, json_extract_string(props, '$.k') AS k FROM events)"
+#: Sites stand for cell sites, which no table holds: a dozen bands of the events' values.
+_DEVICE = "(SELECT user_id, event_type, json_extract_string(props, '$.k') AS k, CAST(CAST(floor(value) AS BIGINT) % 12 AS VARCHAR) AS site FROM events)"
 
 
-@query(f"""WITH {_dm_sql('i', 'user_id', 'k', _DEVICE, 5.0)}, {_dm_sql('h', 'user_id', 'event_type', _DEVICE, 200.0)}
-SELECT i.a, i.b, round(i.dm + h.dm, 4) AS log_lr FROM i JOIN h USING (a, b)""")
+def device_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    site = (F.floor("value") % 12).cast("string")
+    return read(spark, sf_dir, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").alias("k"), site.alias("site"))
+
+
+#: Kind -> (column, concentration): handsets tell much, their models little.
+DEVICE_KINDS = {"imei": ("k", 5.0), "handset": ("event_type", 200.0), "site": ("site", 30.0)}
+
+
+@query(f"""WITH {_dm_sql('i', 'user_id', 'k', _DEVICE, 5.0)}, {_dm_sql('h', 'user_id', 'event_type', _DEVICE, 200.0)}, {_dm_sql('l', 'user_id', 'site', _DEVICE, 30.0)}
+SELECT i.a, i.b, round(i.dm + h.dm + l.dm, 4) AS log_lr FROM i JOIN h USING (a, b) JOIN l USING (a, b)""")
 def device_score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read(spark, sf_dir, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
-    table = None
-    for name, column, c in (("imei", "k", 5.0), ("handset", "event_type", 200.0)):
-        counted = profiles.counts(events, "user_id", column)
-        part = pairs.with_weights(counted, small(profiles.background(counted)), c, name)
-        table = part if table is None else table.join(part, "entity", "full")
-    parts = [pairs.multinomial("imei", 5.0), pairs.multinomial("handset", 200.0)]
-    score = F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)))
-    return pairs.probe_pairs(table).select(*pairs.sides(), _r(score, 4).alias("log_lr"))
+    """Handsets, their models and sites; null where two incidents record nothing of one kind in common."""
+    events = stored(device_events(spark, sf_dir), "device")
+    counts = {}
+    for name, (column, concentration) in DEVICE_KINDS.items():
+        counted = stored(profiles.counts(events, "user_id", column), name)
+        counts[name] = Counts(counted, small(profiles.background(counted)), concentration)
+    rows = scored(events.select(F.col("user_id").alias("entity")).where("entity is not null").distinct(), counts, {})
+    score = F.when(F.coalesce(*counts).isNotNull(), sum((F.coalesce(c, F.lit(0.0)) for c in counts), F.lit(0.0)))
+    return rows.select(*pairs.sides(), _r(score, 4).alias("log_lr"))
+
+
+def _shared_sql(name: str, column: str) -> str:
+    return f"""{name}_c AS ({_cats(column, 'user_id', _DEVICE)}), {name}_f AS (SELECT category, sum(n) / (SELECT sum(n) FROM {name}_c) * 0.99 AS f FROM {name}_c GROUP BY 1),
+{name} AS (SELECT x.entity AS a, y.entity AS b, count(*) AS n, min(f) AS rarest FROM {name}_c x JOIN {name}_c y ON x.category = y.category AND {_PAIRS.format(a='x', b='y')} JOIN {name}_f ON {name}_f.category = x.category GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_shared_sql('i', 'k')}, {_shared_sql('h', 'event_type')}, {_shared_sql('l', 'site')}
+SELECT a, b, coalesce(i.n, 0) AS n_shared_imei, coalesce(l.n, 0) AS n_shared_sites, coalesce(h.n, 0) > 0 AS shares_model, round(i.rarest, 8) AS rarest_imei_frequency FROM i FULL JOIN h USING (a, b) FULL JOIN l USING (a, b)""")
+def device_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two incidents have in common, of pairs that have anything: handsets, sites, models, and how rare the rarest handset is."""
+    events = stored(device_events(spark, sf_dir), "device")
+    rows = None
+    for name, (column, _) in DEVICE_KINDS.items():
+        counted = stored(profiles.counts(events, "user_id", column), name)
+        one = pairs.shared(counted, profiles.background(counted)).withColumn("kind", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    n = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    rare = F.max(F.when(F.col("kind") == "imei", F.col("rarest")))
+    return rows.groupBy("a", "b").agg(n("imei").alias("n_shared_imei"), n("site").alias("n_shared_sites"), (n("handset") > 0).alias("shares_model"), _r(rare, 8).alias("rarest_imei_frequency"))
 
 
 _HOUR_F = "SELECT category, frequency AS f FROM (" + _CIRCULAR.replace(", 8) AS frequency", ", 15) AS frequency") + ")"
 _WEEKDAY_F = _HOUR_F.replace("hour(ts)", "isodow(ts) - 1").replace("range(24)", "range(7)").replace("/ 24)", "/ 7)")
 
 
-@query(f"""WITH {_dm_sql('h', 'user_id', 'hour(ts)', 'events', 30.0, _HOUR_F)}, {_dm_sql('w', 'user_id', 'isodow(ts) - 1', 'events', 30.0, _WEEKDAY_F)},
-{_nig_sql('g', 'user_id', 'ln(greatest(value, 1.0))', 'events')}
-SELECT h.a, h.b, CASE WHEN x.n >= 3 AND y.n >= 3 THEN round(h.dm + w.dm + g.nig, 4) END AS log_lr
-FROM h JOIN w USING (a, b) JOIN g USING (a, b) JOIN g_m x ON x.entity = h.a JOIN g_m y ON y.entity = h.b""")
-def temporal_score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+_TEMPORAL = f"""{_dm_sql('h', 'user_id', 'hour(ts)', 'events', 30.0, _HOUR_F)}, {_dm_sql('w', 'user_id', 'isodow(ts) - 1', 'events', 30.0, _WEEKDAY_F)},
+{_nig_sql('g', 'user_id', 'ln(greatest(value, 1.0))', 'events')},
+tm AS (SELECT h.a, h.b, x.n AS n_first, y.n AS n_second, h.dm AS hour, w.dm AS weekday, g.nig AS duration FROM h JOIN w USING (a, b) JOIN g USING (a, b) JOIN g_m x ON x.entity = h.a JOIN g_m y ON y.entity = h.b)"""
+
+
+def temporal_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p, q (entity, n calls) with the log LRs hour, weekday and duration."""
     events, value = read(spark, sf_dir, "events"), profiles.log_floor(F.col("value"), 1.0)
-    table = pairs.with_marginals(profiles.moments(events, "user_id", value), profiles.normal_prior(events, value), "call")
+    counts = {}
     for name, column, bins in (("hour", F.hour("ts"), 24), ("weekday", F.weekday("ts"), 7)):
-        counted = profiles.counts(events, "user_id", column)
-        table = table.join(pairs.with_weights(counted, F.broadcast(profiles.circular(counted, bins)), 30.0, name), "entity")
-    rows = pairs.probe_pairs(table)
-    score = pairs.multinomial("hour", 30.0) + pairs.multinomial("weekday", 30.0) + pairs.normal("call")
-    enough = (F.col("p.call_n") >= 3) & (F.col("q.call_n") >= 3)
-    return rows.select(*pairs.sides(), _r(F.when(enough, score), 4).alias("log_lr"))
+        counted = stored(profiles.counts(events, "user_id", column), name)
+        counts[name] = Counts(counted, F.broadcast(profiles.circular(counted, bins)), 30.0)  # a row a bin
+    values = {"duration": Values(profiles.moments(events, "user_id", value), profiles.normal_prior(events, value))}
+    return scored(values["duration"].moments.select("entity", "n"), counts, values)
+
+
+@query(f"WITH {_TEMPORAL} SELECT a, b, CASE WHEN n_first >= 3 AND n_second >= 3 THEN round(hour + weekday + duration, 4) END AS log_lr FROM tm")
+def temporal_score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enough = (F.col("p.n") >= 3) & (F.col("q.n") >= 3)
+    score = F.col("hour") + F.col("weekday") + F.col("duration")
+    return temporal_parts(spark, sf_dir).select(*pairs.sides(), _r(F.when(enough, score), 4).alias("log_lr"))
+
+
+@query(f"WITH {_TEMPORAL} SELECT a, b, n_first, n_second, round(hour, 4) AS hour, round(weekday, 4) AS weekday, round(duration, 4) AS duration FROM tm")
+def temporal_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of the temporal score, and the calls on either side."""
+    rows = temporal_parts(spark, sf_dir)
+    return rows.select(*pairs.sides(), F.col("p.n").alias("n_first"), F.col("q.n").alias("n_second"), *[_r(c, 4).alias(c) for c in ("hour", "weekday", "duration")])
 
 
 @query(f"""WITH c AS ({_cats('l_suppkey', 'o_custkey', _LINES)}), f AS (SELECT category, sum(n) / (SELECT sum(n) FROM c) * 0.99 AS f FROM c GROUP BY 1)
 SELECT x.entity AS a, y.entity AS b, count(*) AS n_shared, round(min(f), 8) AS rarest_frequency
 FROM c x JOIN c y ON x.category = y.category AND {_PAIRS.format(a='x', b='y')} JOIN f ON f.category = x.category GROUP BY 1, 2""")
 def rarest_shared_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = profiles.counts(_lines(spark, sf_dir), "o_custkey", "l_suppkey")
-    rare = counted.join(small(profiles.background(counted).select("category", "reported_frequency")), "category")
-    table = rare.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("category", "reported_frequency"))).alias("agents"))
-    rows = pairs.probe_pairs(table).select(*pairs.sides(), F.col("p.agents").alias("m"), F.array_intersect(F.map_keys("p.agents"), F.map_keys("q.agents")).alias("shared"))
-    rarest = F.array_min(F.transform("shared", lambda k: F.col("m")[k]))
-    return rows.where(F.size("shared") > 0).select("a", "b", F.size("shared").cast("long").alias("n_shared"), _r(rarest, 8).alias("rarest_frequency"))
+    counted = stored(profiles.counts(_lines(spark, sf_dir), "o_custkey", "l_suppkey"), "agents")
+    rows = pairs.shared(counted, profiles.background(counted))
+    return rows.select("a", "b", F.col("n").alias("n_shared"), _r("rarest", 8).alias("rarest_frequency"))
 
 
 GRID = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0)

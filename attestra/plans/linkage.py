@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.likelihood import dot, plda
+from ..functions.likelihood import plda
 from ..operators import fusion, governance, graph, trials
 from ..operators.pairs import is_probe
 from ..sources.tables import read, stored

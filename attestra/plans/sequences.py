@@ -123,8 +123,16 @@ def round_robin_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long")).orderBy("rn", "source").limit(60)
 
 
-@query(None)
+def folded_sql(rows: str, part: str, order: str, name: str, target: int, tail: float) -> str:
+    """Packs by a recursive walk along each part; rows: a query of part, order and size."""
+    return f"""WITH RECURSIVE r AS ({rows}), t AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS pos FROM r),
+f AS (SELECT {part}, {order}, pos, size AS total, 0 AS k FROM t WHERE pos = 1
+  UNION ALL SELECT t.{part}, t.{order}, t.pos, CASE WHEN f.total >= {target} THEN 0 ELSE f.total END + t.size, CASE WHEN f.total >= {target} THEN f.k + 1 ELSE f.k END FROM f JOIN t ON t.{part} IS NOT DISTINCT FROM f.{part} AND t.pos = f.pos + 1)
+SELECT {part}, {order}, CASE WHEN max(total) OVER (PARTITION BY {part}, k) >= least({target}, {tail}) THEN CAST(k AS DOUBLE) END AS {name} FROM f"""
+
+
+@query(folded_sql("SELECT doc_id, source, n_chars AS size FROM documents", "source", "doc_id", "pack", 5000, 2500))
 def greedy_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source packed in order into takes of at least 5,000 characters; a tail below half of that has pack null."""
     d = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return q.folded(d, "source", "doc_id", F.col("n_chars"), 5000, tail=2500)
+    return q.folded(d, "source", "doc_id", F.col("n_chars"), 5000, tail=2500).withColumn("pack", F.col("pack").cast("double"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.operators import metrics, sweep
+from attestra.operators import hypotheses, metrics, order_resample, sweep
 
 
 def trials(cells=("a", "b"), n: int = 320, seed: int = 0):
@@ -105,3 +105,36 @@ def test_finished_cells_are_kept(spark, tmp_path, monkeypatch):
     assert asked == [{"c"}] and after.count() == 9 and {r["cell"]: r for r in after.where("calibrator = 'isotonic' and cell <> 'c'").collect()} == before
     one = sweep.overall(after).first()
     assert one["n_cells"] == 3 == one["n_supported"] + one["n_falsified"] + one["n_inconclusive"] and one["best_cllr_min"] <= one["worst_cllr_min"]
+
+
+# -- hypotheses
+
+
+def test_hypotheses_are_decided_by_their_rules(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(600):
+        label, base = int(rng.random() < 0.4), rng.normal()
+        sees = lambda d: float(round((base + d * label - d / 2) * 1.5, 2))
+        rows.append((f"o{int(rng.integers(0, 15))}", label, sees(5.0), sees(5.0), sees(1.0), float(round(rng.normal(), 2)), None if rng.random() < 0.1 else sees(0.5), sees(9.0)))
+    df = spark.createDataFrame(rows, "owner string, label int, good double, twin double, poor double, none double, thin double, best double").persist()
+    v = order_resample.replicates(df, ("good", "twin", "poor", "none"), n=120, seed=2)
+    assert [hypotheses.channel_viability(v, c, 120).verdict for c in ("good", "none")] == ["supported", "falsified"]
+    apart = hypotheses.disguise_resistance(v, ["good", "none"], ["poor"], 120)
+    each = {c: order_resample.estimate(v, {c: 1.0}, "cllr_min", 120) for c in ("good", "twin", "poor", "none")}
+    assert (apart.value, apart.lower, apart.upper) == pytest.approx((each["poor"]["value"] - each["good"]["value"], each["poor"]["lower"] - each["good"]["upper"], each["poor"]["upper"] - each["good"]["lower"]))
+    assert apart.verdict == "supported" and hypotheses.disguise_resistance(v, ["good"], ["twin"], 120).verdict == "falsified"
+    assert [hypotheses.disguise_decay(v, *c, 120).verdict for c in (("poor", "good"), ("good", "poor"), ("good", "twin"))] == ["supported", "falsified", "inconclusive"]
+    assert [hypotheses.cross_lingual_penalty(v, *c, 120).verdict for c in (("good", "poor"), ("poor", "good"))] == ["supported", "falsified"]
+    better = hypotheses.fusion_superiority(df, ["poor", "thin"], "best", "none", 120)
+    assert better.verdict == "supported" and better.detail["margin_over_naive"] > 0.02 and hypotheses.fusion_superiority(df, ["best"], "none", "poor", 120).verdict == "falsified"
+    assert hypotheses.fusion_superiority(df, ["poor"], "best", "best", 120).verdict == "inconclusive"
+    x, y = (np.array([r[k] for r in rows if r[6] is not None], float) for k in (6, 1))
+    assert better.detail["thin"] == pytest.approx(cllr(x, y))
+    assert [hypotheses.synthetic_gating(df, c, ["a"], 120).verdict for c in ("best", "none")] == ["supported", "falsified"]
+    for bad in (lambda: hypotheses.synthetic_gating(df, "best", [], 9), lambda: hypotheses.disguise_resistance(v, [], ["poor"], 9), lambda: hypotheses.fusion_superiority(df.where("label = 1"), ["poor"], "best", "none", 40)):
+        with pytest.raises(hypotheses.NothingToCompare):
+            bad()
+    with pytest.raises(ValueError):
+        hypotheses.Outcome("x", 0.0, 0.0, 0.0, True, True, "")
+    assert hypotheses.table(spark, [better]).first()["verdict"] == "supported"
