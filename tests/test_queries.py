@@ -45,6 +45,8 @@ def test_same_as_sql(name, spark, sf_dir, duck):
 
 #: Queries that the smallest tables leave without a row.
 MAY_BE_EMPTY = {"logistic_fit"}
+#: Queries that refuse the smallest tables, with a row that says so and nothing else.
+MAY_REFUSE = {"channel_viability_verdict"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
@@ -56,7 +58,7 @@ def test_without_sql(name, spark, sf_dir):
     assert len(set(map(str, rows))) == len(rows)
     numbers = [c for c, kind in df.dtypes if kind == "double"]
     assert all(r[c] is None or not math.isinf(r[c]) for r in rows for c in numbers)
-    assert all(any(r[c] is not None for r in rows) for c in df.columns if rows and not c.startswith(("pack", "chunk")))
+    assert name in MAY_REFUSE or all(any(r[c] is not None for r in rows) for c in df.columns if rows)
 
 
 def test_the_fit_of_the_score_file_has_no_slope_left(spark):
