@@ -94,16 +94,28 @@ def overlapping_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.frames(placed(spark, sf_dir), "user_id", "i", "value", 16, 8).select("user_id", "frame", "n", _r("mean", 9).alias("mean"), _r("energy", 9).alias("energy"))
 
 
+#: Ids in a range.
+RANGE = 10_000
+
+
 @query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents),
 k AS (SELECT source, least(n, 10) AS k, n FROM r GROUP BY 1, 2, 3), w AS (SELECT DISTINCT source, CASE WHEN k = 1 THEN 0 ELSE (x.x * (n - 1)) // (k - 1) END AS i FROM k, unnest(range(k)) AS x(x))
 SELECT r.source, r.doc_id FROM r JOIN w USING (source, i)""")
 def even_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most ten rows of each source, evenly spaced; the sample is the operator's meaning."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "source")
-    i, n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1, F.count("*").over(Window.partitionBy("source"))
-    rows = d.select("source", "doc_id", i.cast("long").alias("i"), n.alias("n")).withColumn("k", F.least("n", F.lit(10)))
-    wanted = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda x: F.when(F.col("k") == 1, F.lit(0).cast("long")).otherwise(F.floor(x * (F.col("n") - 1) / (F.col("k") - 1)).cast("long")))
-    return rows.where(F.array_contains(wanted, F.col("i"))).select("source", "doc_id")
+    """At most ten rows of each source, evenly spaced; the sample is the operator's meaning.
+
+    Places come from counts of id ranges: only ranges that hold a wanted place number their rows.
+    """
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.floor(F.col("doc_id") / RANGE).alias("part"))
+    along = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = d.groupBy("source", "part").agg(F.count("*").alias("here")).withColumns({"before": F.coalesce(F.sum("here").over(along), F.lit(0)), "n": F.sum("here").over(Window.partitionBy("source"))})
+    k = F.least(F.col("n"), F.lit(10))
+    wanted = F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda x: F.when(k == 1, F.lit(0).cast("long")).otherwise(F.floor(x * (F.col("n") - 1) / (k - 1)).cast("long")))
+    inside = F.array_distinct(F.transform(F.filter(wanted, lambda i: (i >= F.col("before")) & (i < F.col("before") + F.col("here"))), lambda i: i - F.col("before")))
+    parts = parts.select(F.col("source").alias("_source"), F.col("part").alias("_part"), inside.alias("wanted")).where(F.size("wanted") > 0)
+    rows = d.join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part")))
+    i = F.row_number().over(Window.partitionBy("source", "part").orderBy("doc_id")) - 1
+    return rows.withColumn("i", i.cast("long")).where(F.array_contains("wanted", F.col("i"))).select("source", "doc_id")
 
 
 @query("""WITH u AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r, min(ts) OVER (PARTITION BY user_id, event_type) AS first_ts, min(event_id) OVER (PARTITION BY user_id, event_type) AS first_id FROM events),
@@ -119,8 +131,9 @@ def retain_bounded_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) SELECT doc_id, source, rn FROM r ORDER BY rn, source LIMIT 60""")
 def round_robin_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 60 rows dealt in turn from the sources; no source gives more than 60, so tasks keep no more of each."""
     d = read(spark, sf_dir, "documents").select("doc_id", "source")
-    return d.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long")).orderBy("rn", "source").limit(60)
+    return d.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rn <= 60").select("doc_id", "source", F.col("rn").cast("long").alias("rn")).orderBy("rn", "source").limit(60)
 
 
 def folded_sql(rows: str, part: str, order: str, name: str, target: int, tail: float) -> str:

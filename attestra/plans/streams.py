@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import read, shared_dir
+from ..sources.tables import read, shared_dir, stored
+from ..streaming import enrolment
 from ..streaming import events as s
+from .linkage import GENESIS, audit
 from .registry import query
 
 
@@ -57,3 +59,18 @@ def stream_held_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events held active for three events after one above 90; the last state of each user."""
     out = _finished(spark, s.held_activity(_stream(spark, sf_dir), 90.0, 3), "update")
     return out.groupBy("user_id").agg(F.max_by("n_events", "_batch").alias("n_events"), F.max_by("n_held", "_batch").alias("n_held"))
+
+
+@query("""WITH l AS (SELECT event_id + 1 AS sequence FROM events), b AS (SELECT sequence, CAST(least(floor(3 * sequence / (SELECT max(sequence) + 1 FROM l)), 2) AS BIGINT) AS batch FROM l)
+SELECT batch, true AS is_intact, count(*) AS n_entries, min(sequence) AS first, max(sequence) AS last FROM b GROUP BY 1""")
+def stream_audit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit log of all events that arrives in three stretches, each verified from where the one before ended."""
+    at = f"{shared_dir(spark).rstrip('/')}/audit-{uuid.uuid4().hex}"
+    log = stored(enrolment.appended(audit(spark, sf_dir), "sequence", 0, GENESIS), "audit-log")
+    top = log.agg(F.max("sequence") + 1).first()[0]
+    third = F.least(F.floor(3 * F.col("sequence") / F.lit(top)), F.lit(2))
+    for k in range(3):  # a stretch is a file, and one file is a batch
+        log.where(third == k).coalesce(1).write.mode("append").parquet(f"{at}/log")
+    incoming = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/log")
+    s.checked_audit(incoming, GENESIS, f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(F.col("batch").cast("long").alias("batch"), "is_intact", "n_entries", *[F.col(c).cast("long").alias(c) for c in ("first", "last")])

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import behaviour, calibration, comparison, contrasts, evidence, fusing, linkage, models, records, sequences, streams  # noqa: F401
+from .plans import behaviour, calibration, comparison, contrasts, evidence, fusing, linkage, models, records, selections, sequences, streams  # noqa: F401
 from .plans.registry import QUERIES, SQL  # noqa: F401
