@@ -27,3 +27,11 @@ def test_half_hundredths_of_a_rate_are_rounded_alike(spark, tmp_path):
     events = pd.DataFrame({"event_id": range(len(values)), "value": values})
     got, want = both(spark, tmp_path, "nearest_mode", events=events)
     assert got == want and (0, 4.75) not in got and (1, 4.75) in got
+
+
+def test_halves_of_the_last_place_are_rounded_alike(spark, tmp_path):
+    """99 hundredths of 53 / 16,000 lie on a half of the eighth place, which doubles miss."""
+    line = pd.DataFrame({"l_suppkey": [0] * 53 + list(range(1, 15_948)), "l_partkey": 1, "l_orderkey": [i % 53 for i in range(16_000)]})
+    order = pd.DataFrame({"o_orderkey": range(53), "o_custkey": range(100, 153)})
+    got, want = both(spark, tmp_path, "rarest_shared_agent", orders=order, lineitem=line)
+    assert len(line) == 16_000 and len(got) == 103 and got == want and {r[3] for r in got} == {0.00327938}
