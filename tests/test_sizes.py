@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
 import duckdb
+import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
+from attestra.functions.likelihood import dot, plda, plda_sides
+from attestra.operators import fusion, trials
+from attestra.plans.linkage import USED, comparisons
 from attestra.queries import QUERIES, SQL
 
 
@@ -35,3 +39,41 @@ def test_halves_of_the_last_place_are_rounded_alike(spark, tmp_path):
     order = pd.DataFrame({"o_orderkey": range(53), "o_custkey": range(100, 153)})
     got, want = both(spark, tmp_path, "rarest_shared_agent", orders=order, lineitem=line)
     assert len(line) == 16_000 and len(got) == 103 and got == want and {r[3] for r in got} == {0.00327938}
+
+
+@pytest.fixture(scope="module")
+def odd_recordings(spark):
+    """Equal, zero, short, empty and missing vectors, a missing component, and recordings without a speaker."""
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 3 if i % 7 else None, i % 4, [float(x) for x in rng.normal(size=5)]) for i in range(1, 160)]
+    for i, v in ((50, None), (3, None), (4, [0.0] * 5), (5, [1.0, 2.0]), (6, []), (7, [1.0, None, 0.0, 0.0, 0.0]), (100, [1.0] * 5), (8, [1.0] * 5)):
+        rows[i - 1] = (*rows[i - 1][:3], v)
+    return spark.createDataFrame(rows, "vec_id long, speaker int, session long, unit array<double>")
+
+
+@pytest.mark.parametrize("blocks", [2_000, 1])
+def test_trials_are_those_of_the_pairs(spark, odd_recordings, monkeypatch, blocks):
+    monkeypatch.setattr(trials, "PROBES", blocks)
+    monkeypatch.setattr(trials, "TRIALS", 7)
+    psi = [2.0, 1.0, 0.5, 0.25, 0.125]
+    whole = F.struct(*odd_recordings.columns)
+    p, q = odd_recordings.select(whole.alias("p")).where("p.vec_id % 50 = 0"), odd_recordings.select(whole.alias("q"))
+    pairs = p.crossJoin(q).where("p.vec_id <> q.vec_id and (q.vec_id % 50 <> 0 or p.vec_id < q.vec_id)").where(~((F.col("p.speaker") == F.col("q.speaker")) & (F.col("p.session") == F.col("q.session"))))
+    x, y = F.col("p.unit"), F.col("q.unit")
+    scores = F.when(F.size(x) == F.size(y), dot(x, y)), F.when((F.size(x) == 5) & (F.size(y) == 5), plda(x, y, F.array(*[F.lit(v) for v in psi])))
+    want = {(r[0], r[1]): r[2:] for r in pairs.select("p.vec_id", "q.vec_id", (F.col("p.speaker") == F.col("q.speaker")).cast("int"), *scores).collect()}
+    got = trials.build(odd_recordings, [(F.col("unit"), F.col("unit")), plda_sides(F.col("unit"), psi)]).collect()
+    assert len(got) == len(want) > 300
+    for r in got:
+        label, *values = want[r["a"], r["b"]]
+        assert r["label"] == label and r["score"] == pytest.approx(values, abs=1e-12)
+
+
+def test_comparisons_move_vectors_and_no_trials(spark, sf_dir):
+    """One exchange of the vectors, none by comparison; the rows are those that grouping the streams gave."""
+    m = comparisons(spark, sf_dir)
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(vec_id") == plan.count("Exchange ") and "cmp_id" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    long = m.select("cmp_id", "label", F.explode(F.array(*[F.struct(F.lit(s).alias("stream"), F.col(s).alias("log_lr")) for s in USED])).alias("o")).select("cmp_id", "label", "o.*").where("log_lr is not null")
+    rows = lambda df: sorted(map(tuple, df.select("cmp_id", "label", *fusion.STREAMS, "pattern").collect()))
+    assert rows(fusion.wide(long)) == rows(m)
