@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.functions.likelihood import dot, plda, plda_sides
-from attestra.operators import fusion, trials
+from attestra.operators import fusion, pair_arrays, profiles, trials
 from attestra.plans.linkage import USED, comparisons
 from attestra.queries import QUERIES, SQL
 
@@ -77,3 +77,19 @@ def test_comparisons_move_vectors_and_no_trials(spark, sf_dir):
     long = m.select("cmp_id", "label", F.explode(F.array(*[F.struct(F.lit(s).alias("stream"), F.col(s).alias("log_lr")) for s in USED])).alias("o")).select("cmp_id", "label", "o.*").where("log_lr is not null")
     rows = lambda df: sorted(map(tuple, df.select("cmp_id", "label", *fusion.STREAMS, "pattern").collect()))
     assert rows(fusion.wide(long)) == rows(m)
+
+
+@pytest.mark.parametrize("held", [250_000, 7])
+def test_leaders_of_tasks_hold_the_best_of_all_pairs(spark, monkeypatch, held):
+    """The best of the leaders are the best of all pairs, ties in the order of ids; tasks return no row for every pair."""
+    counted = spark.range(400).select((F.col("id") % 200).alias("entity"), (F.col("id") * 7 % 11 % 5).cast("string").alias("category"), (F.col("id") % 3 + 1).alias("n")).groupBy("entity", "category").agg(F.sum("n").alias("n"))
+    moments = spark.range(190).select(F.col("id").alias("entity"), (F.col("id") % 4 + 1).alias("n"), (F.col("id") % 6).cast("double").alias("mean"), F.lit(0.5).alias("m2"))
+    counts = {"kind": pair_arrays.Counts(counted, profiles.background(counted), 20.0)}
+    values = {"v": pair_arrays.Values(moments, spark.createDataFrame([(2.0, 0.7, 2.5, 1.5)], "mean double, precision double, shape double, scale double"))}
+    score = (F.col("v") + F.coalesce("kind", F.lit(0.0))).alias("x")
+    all_ = pair_arrays.scored(spark.range(200).select(F.col("id").alias("entity")), counts, values).select("p.entity", "q.entity", score).where("x is not null").collect()
+    monkeypatch.setattr(pair_arrays, "PAIRS", held)
+    some = pair_arrays.scored(spark.range(200).select(F.col("id").alias("entity")), counts, values, best=pair_arrays.Best(3, ("v",))).select("p.entity", "q.entity", score).collect()
+    ways = [tuple(r) for r in all_] + [(b, a, x) for a, b, x in all_ if b % 50 == 0]
+    top = lambda rows: {p: [b for _, b in sorted((-round(x, 9), b) for a, b, x in rows if a == p)[:3]] for p in {r[0] for r in rows}}
+    assert top([tuple(r) for r in some]) == top(ways) and len(top(ways)) == 4 and len(some) < len(ways)
