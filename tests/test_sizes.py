@@ -93,3 +93,22 @@ def test_leaders_of_tasks_hold_the_best_of_all_pairs(spark, monkeypatch, held):
     ways = [tuple(r) for r in all_] + [(b, a, x) for a, b, x in all_ if b % 50 == 0]
     top = lambda rows: {p: [b for _, b in sorted((-round(x, 9), b) for a, b, x in rows if a == p)[:3]] for p in {r[0] for r in rows}}
     assert top([tuple(r) for r in some]) == top(ways) and len(top(ways)) == 4 and len(some) < len(ways)
+
+
+@pytest.mark.parametrize("name", ["dm_llr_pairs", "nig_llr_pairs"])
+def test_count_and_moment_pairs_are_scored_by_arrays_in_all_tasks(spark, tmp_path, name):
+    """No join by pair; the population keeps its partitions where shuffles have as many. One order alone has no pair."""
+    order = pd.DataFrame({"o_orderkey": range(900), "o_custkey": [i * 7 % 211 for i in range(900)], "o_orderpriority": [f"{i * i % 5}" for i in range(900)], "o_totalprice": [(i * 37 % 101) + 0.5 for i in range(900)]})
+    got, want = both(spark, tmp_path, name, orders=order)
+    assert len(got) == len(want) > 600 and [r[:2] for r in got] == [r[:2] for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-5)
+    held, tasks = spark.conf.get("spark.sql.shuffle.partitions"), 2 * spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    try:
+        df = QUERIES[name](spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() == tasks
+        assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    (tmp_path / "one").mkdir()
+    assert both(spark, tmp_path / "one", name, orders=order.assign(o_custkey=50)[:1]) == ([], [])
