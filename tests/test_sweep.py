@@ -64,6 +64,27 @@ def test_interpolation_is_that_of_sorted_knots(spark, by):
     assert metrics.interpolated(rows.limit(0), at if by else at.drop("cell"), by).count() == 0
 
 
+def test_no_window_shrinks_as_it_goes(spark):
+    """A frame from a row to the end of its range is read anew for every row: time goes by rows squared."""
+    rows, at = (spark.createDataFrame([(0.5, 1.0)], f"score double, {c} double") for c in ("x", "log_lr"))
+    plan = metrics.interpolated(rows, at)._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RangeFrame, unboundedpreceding$(), currentrow$())" in plan and "RangeFrame, currentrow$(), unboundedfollowing$()" not in plan
+
+
+def test_trials_are_counted_before_a_sweep(spark, monkeypatch):
+    """A trial that comes a thousand times is one row of all that follows, and counts a thousand times."""
+    seen, rows, plain = [], trials(), sweep.calibrated
+    monkeypatch.setattr(sweep, "calibrated", lambda r: seen.append(r.count()) or plain(r))
+    once = frame(spark, rows)
+    many = once.crossJoin(spark.range(1000)).drop("id")
+    got = [{(r["cell"], r["calibrator"]): r for r in sweep.evaluate(x, 60, 1).collect()} for x in (once, many)]
+    assert seen[0] == seen[1] <= len(rows)
+    for key, r in got[0].items():
+        assert got[1][key]["n_same"] == 1000 * r["n_same"] and got[1][key]["cllr_min"] == pytest.approx(r["cllr_min"])
+        if key[1] == "isotonic":
+            assert got[1][key]["cllr_min_upper"] == pytest.approx(r["cllr_min_upper"])
+
+
 def test_cells_are_costed_like_one_at_a_time(spark):
     rows = trials() + [("thin", "development", "o1", 1, 1.0), ("thin", "evaluation", "o1", 0, 0.0), ("a", "evaluation", None, 1, 3.0), ("a", "evaluation", "o1", 1, None)]
     got = {(r["cell"], r["calibrator"]): r for r in sweep.evaluate(frame(spark, rows), 200, 1).collect()}
