@@ -112,3 +112,11 @@ def test_count_and_moment_pairs_are_scored_by_arrays_in_all_tasks(spark, tmp_pat
         spark.conf.set("spark.sql.shuffle.partitions", held)
     (tmp_path / "one").mkdir()
     assert both(spark, tmp_path / "one", name, orders=order.assign(o_custkey=50)[:1]) == ([], [])
+
+
+def test_a_draw_of_a_path_is_hashed_once(spark, sf_dir):
+    """Inside lambdas nothing is shared: what a path or a draw has once stands once in the plan. Paths keep their tasks."""
+    df = QUERIES["path_monte_carlo"](spark, sf_dir)
+    draws = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "sha2(" in x]
+    assert draws and all(x.count("sha2(") == 2 for x in draws)  # the common disturbance and the hop's own
+    assert df.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
