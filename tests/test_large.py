@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.operators import fusion, metrics, ordered
+from attestra.operators import copula, fusion, metrics, ordered
 
 
 def counting(rows):
@@ -62,3 +62,34 @@ def test_no_task_gathers_all_values_for_a_quantile(spark):
         assert "percentile" not in df._jdf.queryExecution().optimizedPlan().toString()
     empty = fusion.overstatement(m.where("label > 5"), "corrected", "naive").first()
     assert empty["n"] == 0 and empty["median_log10"] is None
+
+
+def test_ranges_of_kendalls_tau_grow_with_the_rows(spark, monkeypatch):
+    """No range holds many more rows than it should; tau is that of all pairs."""
+    monkeypatch.setattr(copula, "RANGES", 2)
+    monkeypatch.setattr(copula, "RANGE_ROWS", 20)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=300)
+    y = np.round(x + rng.normal(size=300), 1)
+    m = spark.createDataFrame([(i % 2, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "label int, x double, y double")
+    sizes = copula._ranged(m, ("x", "y"), [(0, 1)], [sorted(q) for q in m.approxQuantile(["x", "y"], [i / 15 for i in range(1, 15)], 0.01)])
+    assert sizes.where("xr % 2 = 0").groupBy("label", "xr").count().agg(F.max("count")).first()[0] <= 40
+    plans = copula.kendall(m, ("x", "y"))
+    assert "lambda" not in plans._jdf.queryExecution().optimizedPlan().toString()
+    for r in plans.collect():
+        u, v = (c[r["label"] :: 2] for c in (x, y))
+        i, j = np.triu_indices(len(u), 1)
+        a, b = np.sign(u[i] - u[j]), np.sign(v[i] - v[j])
+        assert r["n"] == 150 and r["tau"] == pytest.approx((a * b).sum() / math.sqrt((a != 0).sum() * (b != 0).sum()), abs=1e-12)
+
+
+def test_normal_scores_need_no_density(spark, monkeypatch, sf_dir):
+    """Ranks are read off one histogram of the trials."""
+    from attestra.operators import kernel
+    from attestra.plans import fusing
+
+    built, comparisons = [], fusing.comparisons
+    monkeypatch.setattr(fusing, "comparisons", lambda *a: built.append(counting(comparisons(*a))) or built[-1][0])
+    monkeypatch.setattr(kernel, "density", None)
+    rows = fusing.normal_scores(spark, sf_dir).collect()
+    assert rows and len(built) == 1 and built[0][1].value == comparisons(spark, sf_dir).count()
