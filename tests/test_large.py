@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.operators import copula, fusion, metrics, ordered
+from attestra.operators import copula, fusion, metrics, ordered, plda
 
 
 def counting(rows):
@@ -39,6 +39,17 @@ def test_edges_below_are_counted(spark, monkeypatch, nested):
     assert got == [5 if math.isnan(v) else sum(e < v for e in edges) for v in values] + [0]
 
 
+def test_a_round_inverts_one_matrix(spark, monkeypatch):
+    """Whatever the number of different numbers of recordings."""
+    rng = np.random.default_rng(2)
+    rows = [(s, (rng.normal(size=3) * 2 + rng.normal(size=3)).tolist()) for s in range(24) for _ in range(s + 1)]
+    s = plda.statistics(spark.createDataFrame(rows, "speaker int, v array<double>"), "speaker", "v", 3)
+    calls, inv = [], np.linalg.inv
+    monkeypatch.setattr(np.linalg, "inv", lambda m: calls.append(1) or inv(m))
+    model = plda.fit(s, rounds=5)
+    assert len(s.by_count) == 24 and len(model.trace) == 6 and len(calls) <= 6
+
+
 @pytest.mark.parametrize(("parts", "held"), [(16_384, 100_000), (16_384, 5), (3, 5), (2, 0)])
 def test_quantiles_are_those_of_sorted_values(spark, monkeypatch, parts, held):
     monkeypatch.setattr(ordered, "PARTS", parts)
