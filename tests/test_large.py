@@ -104,3 +104,12 @@ def test_normal_scores_need_no_density(spark, monkeypatch, sf_dir):
     monkeypatch.setattr(kernel, "density", None)
     rows = fusing.normal_scores(spark, sf_dir).collect()
     assert rows and len(built) == 1 and built[0][1].value == comparisons(spark, sf_dir).count()
+
+
+def test_no_trial_of_the_four_cells_is_written(spark, sf_dir):
+    """What is stored is counts by score and owner: fewer rows than trials and cells, all trials in them."""
+    from attestra.plans import contrasts
+
+    hist, trials = contrasts.four_cell_counts(spark, sf_dir), contrasts.four_cells(spark, sf_dir).count()
+    got = hist.groupBy("cell").agg(F.sum(F.col("n_same") + F.col("n_different")).alias("n")).collect()
+    assert {r["cell"]: r["n"] for r in got} == {c: trials for c in contrasts.CELLS} and hist.count() < 4 * trials
