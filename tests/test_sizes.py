@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -120,3 +122,28 @@ def test_a_draw_of_a_path_is_hashed_once(spark, sf_dir):
     draws = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "sha2(" in x]
     assert draws and all(x.count("sha2(") == 2 for x in draws)  # the common disturbance and the hop's own
     assert df.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("kept", [96 << 20, 8 * 40 * 3])
+def test_gains_of_common_categories_are_worked_out_once(monkeypatch, kept):
+    """Many entities with the same categories: no ln Gamma for every pair and category; the log LRs are those of single pairs."""
+    monkeypatch.setattr(pair_arrays, "KEPT", kept)
+    rng = np.random.default_rng(6)
+    have = rng.integers(0, 4, (40, 9)) * (np.arange(9)[None, :] != 8)  # probes' counts of nine categories; none has the last
+    have[1:, 7] = 0  # one probe has this
+    own = np.r_[rng.integers(0, 3, (60, 9)), [[70] * 9], [[0] * 9]]
+    alpha, at = np.linspace(0.3, 4.0, 9), np.nonzero(have.T)
+    starts = np.r_[0, np.cumsum((have > 0).sum(0))]
+    index = pair_arrays._Index(starts, at[1], have.T[at].astype(float), alpha, have.sum(1).astype(float), 21.0)
+    rows = [np.flatnonzero(r) if r.any() else None for r in own], [r[r > 0] if r.any() else None for r in own], own.sum(1).astype(float)
+    got = index.log_lr(*rows)
+    g = np.vectorize(math.lgamma)
+    up = lambda a, n: g(a + n) - g(a)
+    want = sum(up(a, x[:, None] + y[None, :]) - up(a, x)[:, None] - up(a, y)[None, :] for a, x, y in zip(alpha, own.T, have.T))
+    x, y = own.sum(1), have.sum(1)
+    want = want + up(21.0, x)[:, None] + up(21.0, y)[None, :] - up(21.0, x[:, None] + y[None, :])
+    assert got[:-1] == pytest.approx(want[:-1], abs=1e-9) and np.isnan(got[-1]).all()
+    if kept > 1 << 20:
+        made, lgamma = [], pair_arrays.lgamma
+        monkeypatch.setattr(pair_arrays, "lgamma", lambda v: made.append(np.size(v)) or lgamma(v))
+        assert np.array_equal(index.log_lr(*rows), got, equal_nan=True) and sum(made) < 1_500
