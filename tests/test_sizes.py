@@ -15,6 +15,8 @@ from attestra.operators import fusion, pair_arrays, profiles, trials
 from attestra.plans.linkage import USED, comparisons
 from attestra.queries import QUERIES, SQL
 
+from .test_large import counting
+
 
 def both(spark, folder, name, **tables):
     """The rows of a query and of its SQL over small tables written to ``folder``."""
@@ -147,3 +149,20 @@ def test_gains_of_common_categories_are_worked_out_once(monkeypatch, kept):
         made, lgamma = [], pair_arrays.lgamma
         monkeypatch.setattr(pair_arrays, "lgamma", lambda v: made.append(np.size(v)) or lgamma(v))
         assert np.array_equal(index.log_lr(*rows), got, equal_nan=True) and sum(made) < 1_500
+
+
+def test_edges_leave_the_arrays_alone_and_are_scored_once(spark, sf_dir, monkeypatch):
+    """Trials below the threshold are no rows of Spark's, and both directions of an edge come from one product."""
+    from attestra.operators import graph
+    from attestra.plans import linkage
+    from attestra.plans.calibration import trial_table
+
+    fair = sorted(map(tuple, trial_table(spark, sf_dir).where(F.col("score") >= linkage.FAIR).collect()))
+    assert sorted(map(tuple, trial_table(spark, sf_dir, linkage.FAIR).collect())) == fair and len(fair) > 100
+    made, table = [], linkage.trial_table
+    monkeypatch.setattr(linkage, "trial_table", lambda *a: made.append(counting(table(*a))) or made[-1][0])
+    edges = linkage.edges(spark, sf_dir)
+    got = graph.neighbours(edges, 1.5).select("src", "dst", "log_lr").collect()
+    assert len(made) == 1 and made[0][1].value == len(fair)
+    strong = [(a, b) for a, b, _, score, *_ in fair if round(score * 10 - 1, 6) >= 1.5]
+    assert sorted((r["src"], r["dst"]) for r in got) == sorted(strong + [(b, a) for a, b in strong])
