@@ -113,3 +113,26 @@ def test_no_trial_of_the_four_cells_is_written(spark, sf_dir):
     hist, trials = contrasts.four_cell_counts(spark, sf_dir), contrasts.four_cells(spark, sf_dir).count()
     got = hist.groupBy("cell").agg(F.sum(F.col("n_same") + F.col("n_different")).alias("n")).collect()
     assert {r["cell"]: r["n"] for r in got} == {c: trials for c in contrasts.CELLS} and hist.count() < 4 * trials
+
+
+def test_communities_send_labels_to_edges_and_hash_a_draw_once(spark, monkeypatch):
+    """Edges are not shuffled in a round where labels are few; the communities are those of the shuffling way, and of blocks of resamples."""
+    from attestra.operators import graph
+
+    rng = np.random.default_rng(7)
+    rows = [(int(a), int(b), round(float(w), 3), round(float(w), 3) - 1, round(float(w), 3) + 1.5) for a, b, w in zip(rng.integers(0, 12, 150), rng.integers(12, 60, 150), rng.normal(2.0, 0.8, 150))]
+    edges = spark.createDataFrame(rows, "src long, dst long, log_lr double, lower double, upper double")
+    written, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: written.append((name, df._jdf.queryExecution().executedPlan().toString())) or stored(df, name))
+    found = lambda: (sorted(map(tuple, graph.communities(edges, 1.5).collect())), sorted((*r[:2], round(r[2], 9)) for r in graph.stability(edges, 1.5, 6).select("community", "n_members", "stability").collect()))
+    few = found()
+    rounds = [plan for name, plan in written if name == "labels" and "max_by" in plan]
+    assert rounds and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in rounds)
+    monkeypatch.setattr(graph, "LABELS", 130)  # two resamples at once
+    assert found() == few
+    monkeypatch.setattr(graph, "LABELS", 3)
+    assert found() == few
+    draws = graph.redrawn(edges, 4, 1, 1.5)
+    assert draws._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    every = {tuple(r)[:3]: r["log_lr"] for r in graph.redrawn(edges.distinct(), 4).collect() if r["log_lr"] >= 1.5}
+    assert {tuple(r)[:3]: r["log_lr"] for r in graph.redrawn(edges.distinct(), 4, 1, 1.5).collect()} == every
