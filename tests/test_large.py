@@ -136,3 +136,22 @@ def test_communities_send_labels_to_edges_and_hash_a_draw_once(spark, monkeypatc
     assert draws._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
     every = {tuple(r)[:3]: r["log_lr"] for r in graph.redrawn(edges.distinct(), 4).collect() if r["log_lr"] >= 1.5}
     assert {tuple(r)[:3]: r["log_lr"] for r in graph.redrawn(edges.distinct(), 4, 1, 1.5).collect()} == every
+
+
+def test_subsets_are_evaluated_in_arrays(spark):
+    """No column expression for each subset and pattern; the costs are those of the fused columns."""
+    from attestra.functions.likelihood import cost
+    from attestra.operators import latent
+
+    rng = np.random.default_rng(8)
+    rows = [(i % 2 if i % 29 else None, *[float(x) if rng.random() < 0.7 else None for x in rng.normal(i % 2, 1.5, 3)]) for i in range(400)]
+    m = spark.createDataFrame(rows, "label int, a double, b double, c double")
+    out = latent.ablation(m, m, ("a", "b", "c"))
+    assert "mapinarrow" in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {r["subset"]: r for r in out.collect()}
+    assert len(got) == 7
+    for names, model in latent.fit_subsets(m, ("a", "b", "c")).items():
+        x = m.select("label", model.fused().alias("x"), fusion.naive(names).alias("y")).where("x is not null")
+        half = lambda c, k: F.avg(F.when(F.col("label") == k, cost(F.col(c), F.col("label"))))
+        want = x.agg(F.count("*"), 0.5 * (half("x", 1) + half("x", 0)), 0.5 * (half("y", 1) + half("y", 0))).first()
+        assert tuple(got["+".join(names)])[2:] == pytest.approx(tuple(want), abs=1e-10)
