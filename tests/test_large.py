@@ -155,3 +155,10 @@ def test_subsets_are_evaluated_in_arrays(spark):
         half = lambda c, k: F.avg(F.when(F.col("label") == k, cost(F.col(c), F.col("label"))))
         want = x.agg(F.count("*"), 0.5 * (half("x", 1) + half("x", 0)), 0.5 * (half("y", 1) + half("y", 0))).first()
         assert tuple(got["+".join(names)])[2:] == pytest.approx(tuple(want), abs=1e-10)
+
+
+def test_no_comparison_is_written_before_the_result(spark, sf_dir, monkeypatch):
+    from attestra.plans import comparison
+
+    monkeypatch.setattr(comparison, "stored", None)
+    assert comparison.incident_comparisons(spark, sf_dir).count() == comparison.comparisons(spark, sf_dir).count()
