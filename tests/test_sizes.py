@@ -166,3 +166,15 @@ def test_edges_leave_the_arrays_alone_and_are_scored_once(spark, sf_dir, monkeyp
     assert len(made) == 1 and made[0][1].value == len(fair)
     strong = [(a, b) for a, b, _, score, *_ in fair if round(score * 10 - 1, 6) >= 1.5]
     assert sorted((r["src"], r["dst"]) for r in got) == sorted(strong + [(b, a) for a, b in strong])
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_two_systems_on_one_trial_are_not_joined(spark, tmp_path, repeated):
+    """A trial holds both scores; only repeated recordings, whose pairs meet each other's, need a join."""
+    rng = np.random.default_rng(9)
+    frame = pd.DataFrame({"vec_id": [*range(1, 120), 60 if repeated else 120], "label": [i % 4 for i in range(119)] + [3], "embedding": [rng.normal(size=4).astype("float32") for _ in range(120)]})
+    got, want = both(spark, tmp_path, "pair_join_two_systems", embeddings=frame)
+    assert len(got) == len(want) > 100 and [r[:3] for r in got] == [r[:3] for r in want]
+    assert sorted(r[3] for r in got) == pytest.approx(sorted(r[3] for r in want), abs=2e-6)
+    plan = QUERIES["pair_join_two_systems"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert ("Join" in plan) == repeated
